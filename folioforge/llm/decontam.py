@@ -55,7 +55,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WINDO
     counted = []
     for k in range(n_terms):
         some = terms.where(F.pmod(F.xxhash64("word"), F.lit(n_terms)) == k).select("word", F.xxhash64("word").alias("h"))
-        at = docs.select(F.explode(words_of(F.col("text"))).alias("x")).select(F.xxhash64("x").alias("h"))
+        at = docs.select(F.explode_outer(words_of(F.col("text"))).alias("x")).select(F.xxhash64("x").alias("h"))
         counted.append(at.join(F.broadcast(some), "h").groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     rarity = save(union_all(counted), "rarity")
     # The prefix token of each window, and with each prefix token its windows.
@@ -70,11 +70,13 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WINDO
         if k == 0:  # '' is no word: it stands once in front of each document's words and brings the document through
             some = some.unionByName(docs.sparkSession.createDataFrame([("", [])], f"x string, windows {table.schema['windows'].dataType.simpleString()}").select(F.xxhash64("x").alias("h"), "windows"))
         d = docs.select("doc_id", *carry, F.xxhash64("text").alias("key"), F.concat(F.array(F.lit("")), words_of(F.col("text"))).alias("w"))
-        at = d.select("doc_id", *carry, "key", "w", F.posexplode("w").alias("i", "x")).withColumn("h", F.xxhash64("x"))
+        at = d.select("doc_id", *carry, "key", "w", F.posexplode_outer("w").alias("i", "x")).withColumn("h", F.xxhash64("x"))
         at = at.join(F.broadcast(some), "h")
+        # Higher-order functions stay out of the join, which is compiled and copies only candidates; the outer
+        # explode keeps the optimizer from splitting each text twice to ask whether it has words.
         fits = F.filter("windows", lambda v: (F.col("i") - v["j"] >= 1) & (F.col("i") - v["j"] + F.size(v["words"]) <= F.size("w")) & (F.slice("w", F.greatest(F.col("i") - v["j"] + 1, F.lit(1)), F.size(v["words"])) == v["words"]))
         hits = F.transform(fits, lambda v: F.struct((F.col("i") - v["j"]).alias("a"), (F.col("i") - v["j"] + F.size(v["words"])).alias("b"), v["item"].alias("item")))
-        found.append(at.select("doc_id", *carry, "key", (F.col("i") == 0).cast("long").alias("is_row"), (F.size("w") - 1).cast("long").alias("n_words"), hits.alias("hits")).where((F.col("is_row") == 1) | (F.size("hits") > 0)))
+        found.append(at.select("doc_id", *carry, "key", (F.col("i") == 0).cast("long").alias("is_row"), (F.size("w") - 1).cast("long").alias("n_words"), hits.alias("hits")))
 
     key = ["doc_id", *carry, "key"]
     found = union_all(found)

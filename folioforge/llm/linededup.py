@@ -29,7 +29,7 @@ def boilerplate(pages: DataFrame, host: str = "source", ratio: float = RATIO, mi
     a host of its own, named ''."""
     h = F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")
     lines = F.array_distinct(F.filter(F.transform(_lines(F.col("text")), lambda x: F.trim(x)), lambda x: x != ""))
-    seen = pages.select(h, F.explode(lines).alias("line")).groupBy("host", F.xxhash64("line").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    seen = pages.select(h, F.explode_outer(lines).alias("line")).where("line is not null").groupBy("host", F.xxhash64("line").alias("line")).agg(F.count(F.lit(1)).alias("n"))
     total = pages.select(h).groupBy("host").agg(F.count(F.lit(1)).alias("total"))
     often = seen.where(F.col("n") >= min_pages).join(total, "host").where(F.col("n") > ratio * F.col("total"))
     return often.groupBy("host").agg(F.collect_set("line").alias("lines"))

@@ -105,7 +105,7 @@ def _keys(reps: DataFrame) -> DataFrame:
     """(key, id): a row for each of the tables of each representative."""
     left, right = F.slice("bands", 1, LEFT), F.slice("bands", LEFT + 1, RIGHT)
     keys = F.flatten(F.transform(left, lambda a, i: F.transform(right, lambda b, j: F.xxhash64(a, b, i * RIGHT + j))))
-    return reps.select("id", F.explode(keys).alias("key"))
+    return reps.select("id", F.explode_outer(keys).alias("key"))
 
 
 def _similar(a: Column, b: Column, percent: int) -> Column:
