@@ -3,7 +3,8 @@
 A word's symbols lie in one contiguous array of part boundaries with the rank of each adjacent pair; the lowest
 rank is found by a scan, its boundary deleted and the two neighbouring ranks refreshed.  Words longer than
 ``SCAN_MOST`` symbols, where scans would take quadratic time, go through a heap that makes the same merges in the
-same order.  Finished words are kept in a table of bounded size.
+same order.  Finished words are kept in two tables of bounded size: when the young one is full it becomes the old
+one, and words still in use are taken over, so frequent words stay while rare ones pass through.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 CACHE_LONGEST = 64
 SCAN_MOST = 256
 NEVER = 1 << 60
@@ -56,14 +57,17 @@ class WordBpe:
         self.special_pattern = regex.compile("|".join(map(regex.escape, by_length))) if by_length else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"[^\p{White_Space}", r"[^\p{White_Space}"))
-        self.white = regex.compile(r"\p{White_Space}+")
         self.letters = byte_letters()
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.strings: dict[str, tuple[str, str, int]] = {}
+        self.young: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
 
     def normalise(self, text: str) -> str:
-        text = self.white.sub(" ", text if text.isascii() else unicodedata.normalize("NFC", text))
-        if text.isascii() or "Σ" not in text:
+        """NFC and lower case.  White space stays as it is: no piece has any, and each run of it parts pieces as one
+        space would."""
+        if text.isascii():
+            return text.lower()
+        text = unicodedata.normalize("NFC", text)
+        if "Σ" not in text:
             return text.lower()
         return "σ".join(part.lower() for part in text.split("Σ"))  # letter by letter: no final sigma
 
@@ -106,16 +110,22 @@ class WordBpe:
                 heapq.heappush(heap, (r[0], p, parts[p], parts[k]))
         return [x for x, keep in zip(parts, alive, strict=True) if keep]
 
-    def encode_word(self, word: str) -> tuple[int, ...]:
-        found = self.cache.get(word)
+    def encode_word(self, word: str) -> list[int]:
+        parts = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
+        parts[-1] += self.end
+        vocab = self.vocab
+        return [vocab[p] for p in self.merge(parts) if p in vocab]
+
+    def word(self, word: str) -> tuple[str, str, int]:
+        """A word's ids and tokens, each joined by blanks, and their number."""
+        found = self.old.get(word)
         if found is None:
-            parts = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
-            parts[-1] += self.end
-            found = tuple(self.vocab[p] for p in self.merge(parts) if p in self.vocab)
-            if len(word) <= CACHE_LONGEST:
-                if len(self.cache) >= CACHE_WORDS:
-                    self.cache.clear()
-                self.cache[word] = found
+            ids = self.encode_word(word)
+            found = (" ".join(map(str, ids)), self.decode(ids), len(ids))
+        if len(word) <= CACHE_LONGEST:
+            if len(self.young) >= CACHE_WORDS:
+                self.old, self.young = self.young, {}
+            self.young[word] = found
         return found
 
     def _segments(self, text: str) -> Iterator[tuple[str, int | None]]:
@@ -139,28 +149,18 @@ class WordBpe:
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(self.tokens[i] for i in ids)
 
-    def _word_strings(self, word: str) -> tuple[str, str, int]:
-        ids = self.encode_word(word)
-        found = (" ".join(map(str, ids)), self.decode(ids), len(ids))
-        if len(word) <= CACHE_LONGEST:
-            if len(self.strings) >= CACHE_WORDS:
-                self.strings.clear()
-            self.strings[word] = found
-        return found
-
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """Number of tokens, SHA-256 of the ids and of the decoded text: as of encode() and decode(), word by word."""
         ids: list[str] = []
         shown: list[str] = []
         n = 0
-        table, make = self.strings.get, self._word_strings
+        make = self.word
         for part, special in self._segments(text or ""):
-            for word in self.pieces.findall(self.normalise(part)) if part else ():
-                a, b, k = table(word) or make(word)
-                if k:
-                    ids.append(a)
-                    shown.append(b)
-                    n += k
+            if part:
+                words = [self.young.get(w) or make(w) for w in self.pieces.findall(self.normalise(part))]
+                ids += [w[0] for w in words if w[2]]
+                shown += [w[1] for w in words if w[2]]
+                n += sum([w[2] for w in words])
             if special is not None:
                 ids.append(str(special))
                 shown.append(self.tokens[special])
