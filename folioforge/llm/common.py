@@ -56,6 +56,11 @@ def forget(*frames: DataFrame) -> None:
             p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
 
 
+def spread(spark: SparkSession) -> int:
+    """Partitions of a shuffle in this session."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, UPPER, UPPER.lower())

@@ -22,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, connected_components, mix, save, text_blocks
+from .common import Words, connected_components, mix, save, spread, text_blocks
 
 LEFT, LEFT_ROWS, RIGHT, RIGHT_ROWS = 12, 3, 8, 2
 BROADCAST_IDS = 1_000_000  # 8 bytes each
+KEYED_ROWS = 10_000  # representatives whose keys one task makes
 
 _seeds = mix(np.arange(1, 2 * (LEFT * LEFT_ROWS + RIGHT * RIGHT_ROWS) + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 FACTORS = (_seeds[0::2] | np.uint64(1))[:, None]
@@ -127,7 +128,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     reps = sketch.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
     reps = save(reps, "representatives")
 
-    keys = _keys(reps)
+    keys = _keys(reps.repartition(max(spread(spark), -(-reps.count() // KEYED_ROWS)), "id"))
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
     members = save(keys.join(hubs, "key"), "buckets")  # key, id, hub of buckets of several
     stars = save(members.where("id <> hub").groupBy("id", "hub").agg(F.lit(1).alias("one")).select("id", "hub"), "stars")
@@ -192,16 +193,17 @@ def _apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
 
 def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """(id, hub) of sets (id, s, c) with different c that may be similar: they share one of their rarest shingles,
-    and their sizes allow it."""
+    their sizes allow it, and so do the places of that shingle (the first that a pair shares leaves enough after it)."""
     sets = save(sets, "unsettled-sets")
     often = sets.select(F.explode("s").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     ranked = sets.select("id", "c", F.size("s").alias("size"), F.explode("s").alias("x")).join(often, "x", "left")
     rare_first = ranked.groupBy("id", "c", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), F.col("x")))).alias("o"))
     needed = F.col("size") - F.floor((F.col("size") * percent + 99) / 100).cast("int") + 1
     tokens = rare_first.withColumn("o", F.slice("o", F.lit(1), needed))
-    tokens = save(tokens.select("id", "c", "size", F.explode("o").alias("e")).where("e.n > 1").select("id", "c", "size", F.col("e.x").alias("x")), "prefix-tokens")
+    tokens = save(tokens.select("id", "c", "size", F.posexplode("o").alias("at", "e")).where("e.n > 1").select("id", "c", "size", (F.col("size") - F.col("at")).alias("rest"), F.col("e.x").alias("x")), "prefix-tokens")
     a, b = tokens.alias("a"), tokens.alias("b")
     on = (F.col("a.x") == F.col("b.x")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.c") != F.col("b.c")) & (F.col("a.size") * 100 >= F.col("b.size") * percent) & (F.col("b.size") * 100 >= F.col("a.size") * percent)
+    on = on & (F.least("a.rest", "b.rest") * (100 + percent) >= (F.col("a.size") + F.col("b.size")) * percent)
     return a.join(b, on).select(F.col("b.id").alias("id"), F.col("a.id").alias("hub")).distinct()
 
 
