@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -13,47 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_local_dirs: dict[str, str] = {}
-
-
-# --------------------------------------------------------------------------- shared folder
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``.  A folder of our own is made only where the
-    setting is absent and the master is local, as in tests."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if sc.applicationId not in _local_dirs:
-        _local_dirs[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="folioforge-")
-    return _local_dirs[sc.applicationId]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/folioforge/{name}-{uuid.uuid4().hex}"
-
+from ..operators.components import connected_components  # noqa: F401
+from ..plans.shared import forget, new_path, save, shared_dir  # noqa: F401
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a cut in the lineage that survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._folio_path = path
-    return out
-
-
-def forget(*frames: DataFrame) -> None:
-    """Delete tables made by :func:`save` that no later step reads."""
-    for df in frames:
-        path = getattr(df, "_folio_path", None)
-        if path:
-            jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def spread(spark: SparkSession) -> int:
@@ -163,35 +124,6 @@ def text_blocks(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, in
         a = b
 
 
-# --------------------------------------------------------------------------- components
-def connected_components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of ``edges`` (a, b); component is the smallest node reachable.
-
-    Large-star and small-star in turn: each round is two grouped minima and two joins, whose hot keys Spark can
-    split, and each round's edges go to the shared folder.  Loops and nulls are ignored.
-    """
-    a, b = F.col("a"), F.col("b")
-    now = save(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), name)
-    mark = None
-    for _ in range(rounds):
-        both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(low, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b")).where(a != b).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        small = small.select(F.explode(F.array(F.struct(a.alias("a"), F.col("m").alias("b")), F.struct(b.alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        new = save(small.where(a != b).distinct(), name)
-        forget(now)
-        now = new
-        x = now.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x"), F.count_distinct("a").alias("d")).first()
-        if (x.n, x.x) == mark and x.n == x.d:
-            break
-        mark = (x.n, x.x)
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(a.alias("node"), b.alias("component")).unionByName(now.select(b.alias("node"), b.alias("component")).distinct())
-
-
 def with_fields(df: DataFrame, fields: str) -> StructType:
     """The schema of ``df`` and further fields."""
     return StructType([*df.schema.fields, *_parse_datatype_string(fields).fields])

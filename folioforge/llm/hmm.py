@@ -97,8 +97,20 @@ class Vocabulary:
 
 
 def vocabulary(words: DataFrame, head: int = HEAD) -> Vocabulary:
+    """The head are all words above a count, the lowest on a logarithmic scale that leaves at most ``head`` of them, so
+    that only the head and a histogram of some thousand bins reach the driver."""
     total = words.agg(F.sum("n"), F.count(F.lit(1))).first()
-    top = words.orderBy((F.col("hash") == END).desc(), F.col("n").desc(), "hash").limit(head).select("hash", "n", "class").toPandas()
+    level = F.floor(F.log2("n") * 128)
+    least, held = None, 1
+    for r in words.where("class >= 0").groupBy(level.alias("level")).count().orderBy(F.col("level").desc()).collect():
+        held += r["count"]
+        if held > head:
+            break
+        least = r.level
+    chosen = (F.col("hash") == END) & (F.col("class") == -1)
+    if least is not None:
+        chosen = chosen | (level >= least)
+    top = words.where(chosen).select("hash", "n", "class").toPandas()
     mass = np.ones(TAILS)
     for r in words.where("class >= 0").groupBy("class").agg(F.sum(F.col("n") + 1).alias("m")).collect():
         mass[r["class"]] += r.m
