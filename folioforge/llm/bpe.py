@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 CACHE_LONGEST = 64
 SCAN_MOST = 256
 NEVER = 1 << 60

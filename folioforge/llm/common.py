@@ -105,7 +105,7 @@ class Words:
         self.hash = mix((sums[self.end] - sums[self.start]) * q[self.start])
 
 
-def text_blocks(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of blocks of about ``most`` bytes of a string column;
     null counts as empty.  A longer text is a block of its own."""
     if isinstance(column, pa.ChunkedArray):

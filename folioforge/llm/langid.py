@@ -23,7 +23,7 @@ from .common import LOWER, text_blocks, with_fields
 
 DIMS_LOG2 = 13
 DIMS = 1 << DIMS_LOG2
-SAMPLE = 4000
+SAMPLE = 2000
 CENTROIDS = 3
 SLACK = 0.2
 UNKNOWN = "und"
@@ -68,8 +68,9 @@ def fit(texts: list[str], langs: list[str], centroids: int = CENTROIDS, slack: f
     data = [t.encode("utf-8", "surrogatepass") for t in texts]
     tf = counts(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
     idf = np.log((1 + len(texts)) / (1 + (tf > 0).sum(axis=0))).astype(np.float32) + 1
-    x = unit(np.log1p(tf) * idf)
-    del tf
+    x = np.log1p(tf, out=tf)  # in place: the sample's vectors are the driver's largest object
+    x *= idf
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     tags, found, of, radius = np.array(langs), [], [], []
     for lang in sorted(set(langs)):
         own = x[tags == lang]
