@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, new_path, save
+from .common import new_path, save
 
 SKIPPABLE = 0x184D2A5E  # fixed values of the seekable format
 SEEKABLE = 0x8F92EAB1
@@ -242,8 +242,7 @@ def read_archives(bundles: DataFrame, payloads: bool = True) -> DataFrame:
 
 def lookup(index: DataFrame, record_ids: DataFrame) -> DataFrame:
     """The records named in ``record_ids`` (record_id), each frame opened alone at its place in the index."""
-    key = fresh(record_ids, "record_id")
-    wanted = index.join(record_ids.select(F.col("record_id").alias(key)).distinct(), "record_id", "left_semi")
+    wanted = index.join(record_ids.select("record_id").distinct(), "record_id", "left_semi")
     order = ["bundle", "frame_start", "frame_size", "at", "size"]
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
