@@ -18,7 +18,7 @@ def nz(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-cased runs of letters and digits; null has none."""
-    return F.filter(F.split(F.lower(nz(c)), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(nz(c)), r"[^\p{L}\p{N}]+"), "")
 
 
 def fold(c: Column) -> Column:
