@@ -27,6 +27,7 @@ from .common import Words, connected_components, mix, save, spread, text_blocks
 LEFT, LEFT_ROWS, RIGHT, RIGHT_ROWS = 12, 3, 8, 2
 BROADCAST_IDS = 1_000_000  # 8 bytes each
 KEYED_ROWS = 10_000  # representatives whose keys one task makes
+PAIRS_A_TASK = 128  # of one representative, when pairs meet its set
 
 _seeds = mix(np.arange(1, 2 * (LEFT * LEFT_ROWS + RIGHT * RIGHT_ROWS) + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 FACTORS = (_seeds[0::2] | np.uint64(1))[:, None]
@@ -176,11 +177,27 @@ def _same_id(sketch: DataFrame) -> DataFrame:
     return some.join(several, "doc_id", "left_semi").join(low, "set_id").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, key: str, name: str, counted: DataFrame) -> DataFrame:
+    """``pairs`` (id, hub, ...), counted by the plain (id, hub) of ``counted``, with the full set of ``key`` as ``name``.
+
+    A key of many pairs is dealt to several tasks, and a copy of its set to each: one for PAIRS_A_TASK pairs.  There
+    are fewer such keys than pairs / PAIRS_A_TASK; they are broadcast if they are few, else joined."""
+    many = save(counted.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_TASK).cast("int").alias("_shares")).where("_shares > 1"), "shared-keys")
+    if many.count() <= BROADCAST_IDS:
+        many = F.broadcast(many)
+    shares = F.coalesce("_shares", F.lit(1))
+    other = "hub" if key == "id" else "id"
+    dealt = pairs.join(many, key, "left").withColumn("_share", F.pmod(F.xxhash64(other), shares).cast("int")).drop("_shares")
+    copies = sets.select(F.col("id").alias(key), F.col("s").alias(name)).join(many, key, "left")
+    copies = copies.select(key, name, F.explode(F.sequence(F.lit(0), shares - 1)).alias("_share"))
+    return dealt.join(copies, [key, "_share"]).drop("_share")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the pairs (id, hub) whose full sets are as similar as asked."""
-    x = sets.select("id", F.col("s").alias("s1"))
-    y = sets.select(F.col("id").alias("hub"), F.col("s").alias("s2"))
-    near = pairs.join(x, "id").join(y, "hub").where((F.size("s1") * 100 >= F.size("s2") * percent) & (F.size("s2") * 100 >= F.size("s1") * percent))
+    pairs = save(pairs, "pairs")
+    both = _with_sets(_with_sets(pairs, sets, "id", "s1", pairs), sets, "hub", "s2", pairs)
+    near = both.where((F.size("s1") * 100 >= F.size("s2") * percent) & (F.size("s2") * 100 >= F.size("s1") * percent))
     return near.where(_similar(F.col("s1"), F.col("s2"), percent)).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
 
 

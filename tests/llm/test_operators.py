@@ -170,7 +170,9 @@ def brute_groups(rows, width, percent):
     return {k: (len(s), find(k)) for k, s in sets.items()}
 
 
-def test_near_duplicates_against_brute_force(spark):
+@pytest.mark.parametrize("share", [128, 3])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, share):
+    monkeypatch.setattr(minhash, "PAIRS_A_TASK", share)
     rng = random.Random(2)
     vocab = [f"w{k}" for k in range(400)]
     rows = []
