@@ -217,3 +217,20 @@ def may_be_initials(a: tuple, b: tuple) -> bool:
     """Surnames agree and every aligned pair is equal or an initial of the other."""
     _, s, pairs = match(a, b)
     return s >= BAR and bool(pairs) and all(x == y or (min(len(x), len(y)) == 1 and x[0] == y[0]) for x, y, _ in pairs)
+
+
+def first_surname_agrees(a: tuple, b: tuple) -> bool:
+    """False where the surnames differ in number and in their first word, unless the last words agree and the longer
+    name (third of the tuple: whether it is written with a hyphen) has no hyphen.  Words of one letter don't count."""
+    x, y = ([w for w in surname_words(n[1]) if len(w) > 1] for n in (a, b))
+    if not x or not y or len(x) == len(y) or x[0] == y[0]:
+        return True
+    return x[-1] == y[-1] and not (a if len(x) > len(y) else b)[2]
+
+
+def weak(a: tuple, b: tuple) -> bool:
+    """Whether the alignment leaves out the first given word of the name that has more of them."""
+    if not a[0] or not b[0] or len(a[0]) == len(b[0]):
+        return False
+    first = max(a[0], b[0], key=len)[0]
+    return all(y != first for _, y, _ in align(a[0], b[0]))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import text as T
+from ..plans.shared import save
 from .components import connected_components
 
 PARTS = "name string, given array<string>, surname array<string>, keys array<string>, garbage boolean"
@@ -138,25 +139,71 @@ def precision_clusters(names: DataFrame, correct: bool = True) -> DataFrame:
     return out.join(out.groupBy("grp").agg(F.min("name").alias("low")), "grp").select("name", F.col("low").alias("grp"))
 
 
+def _judged(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b, compatible, weak) of pairs of groups, over all their names (``members``: grp, given, surname, hyphen):
+    compatible if all may be initials of each other and some agree in the first surname; weak if all are."""
+    side = lambda g: members.select(F.col("grp").alias(g), *[F.col(c).alias(f"{g}_{c}") for c in ("given", "surname", "hyphen")])
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            name = lambda g: [(tuple(x), tuple(y), z) for x, y, z in zip(d[f"{g}_given"], d[f"{g}_surname"], d[f"{g}_hyphen"], strict=True)]  # noqa: E731, B023
+            both = list(zip(name("a"), name("b"), strict=True))
+            yield pd.DataFrame({"a": d["a"], "b": d["b"], "edge": [N.may_be_initials(x[:2], y[:2]) for x, y in both], "first": [N.first_surname_agrees(x, y) for x, y in both], "weak": [N.weak(x, y) for x, y in both]})
+
+    found = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a string, b string, edge boolean, first boolean, weak boolean")
+    return found.groupBy("a", "b").agg((F.bool_and("edge") & F.bool_or("first")).alias("compatible"), F.bool_and("weak").alias("weak"))
+
+
+def _ordered(x, y) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
 def impute_initials(groups: DataFrame, coauthors: DataFrame | None = None) -> DataFrame:
-    """Proposals (a, b) of groups to join: a bare initial on one side, all names compatible, and only where no group is
-    compatible with two that contradict each other, unless a coauthor group (``coauthors``: grp, co) is shared."""
+    """Proposals (a, b) of groups to join: a bare initial on one side and all names compatible.
+
+    An edge that is weak (every pair leaves out a first given name) or risky (a neighbour of one end is incompatible
+    with the other) stays only where a coauthor group (``coauthors``: grp, co) is shared.  Components that still
+    hold an incompatible pair lose their weak edges, then their risky ones; what is no clique then is left out.
+    Neighbours are those before any risky edge goes.
+    """
     parts = name_parts(groups.select("name")).join(groups, "name")
-    reps = parts.groupBy("grp").agg(F.max_by("given", F.struct(F.size("given"), "name")).alias("given"), F.max_by("surname", F.struct(F.size("surname"), "name")).alias("surname"), F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys")).withColumnRenamed("grp", "rep")
-    pairs = compared(reps, "may_be_initials")
-    bare = reps.where(F.exists("given", lambda g: F.length(g) == 1)).select(F.col("rep").alias("x"))
-    pairs = pairs.join(bare.withColumnRenamed("x", "a").withColumn("ia", F.lit(True)), "a", "left").join(bare.withColumnRenamed("x", "b").withColumn("ib", F.lit(True)), "b", "left").where("ia or ib").select("a", "b")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    x, y = both.alias("x"), both.alias("y")
-    forks = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.b") < F.col("y.b"))).select(F.col("x.a").alias("mid"), F.col("x.b").alias("p"), F.col("y.b").alias("q"))
-    risky = forks.join(pairs.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")), ["p", "q"], "left_anti")
-    bad = risky.select("mid", F.explode(F.array("p", "q")).alias("other")).select(F.least("mid", "other").alias("a"), F.greatest("mid", "other").alias("b")).distinct()
-    flat = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    safe = flat.join(bad, ["a", "b"], "left_anti")
-    if coauthors is not None:
-        shared = coauthors.withColumnRenamed("grp", "a").join(coauthors.withColumnRenamed("grp", "b"), "co").where("a < b").select("a", "b").distinct()
-        safe = safe.unionByName(flat.join(bad, ["a", "b"]).join(shared, ["a", "b"], "left_semi")).distinct()
-    return safe
+    members = save(parts.select("grp", "given", "surname", F.col("name").contains("-").alias("hyphen"), "keys", "garbage").distinct(), "members")
+    initial = members.where(F.exists("given", lambda g: F.length(g) == 1)).select("grp").distinct()
+    keyed = members.where("not garbage").select("grp", F.explode("keys").alias("key")).distinct()
+    x = keyed.join(initial, "grp", "left_semi").withColumnRenamed("grp", "x")
+    near = x.join(keyed.withColumnRenamed("grp", "y"), "key").where("x <> y").select(*_ordered("x", "y")).distinct()
+    edges = save(_judged(near, members).where("compatible").select("a", "b", "weak"), "edges")
+    if coauthors is None:
+        shared = edges.select("a", "b").limit(0)
+    else:
+        co = coauthors.where("grp <> co").distinct()
+        shared = edges.select("a", "b").join(co.withColumnRenamed("grp", "a"), "a").join(co.withColumnRenamed("grp", "b"), ["b", "co"]).select("a", "b").distinct()
+    edges = save(edges.join(shared.withColumn("shared", F.lit(True)), ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.lit(False))).where("shared or not weak"), "edges")
+
+    both = edges.select(F.col("a").alias("mid"), F.col("b").alias("end")).unionByName(edges.select(F.col("b").alias("mid"), F.col("a").alias("end")))
+    forks = both.withColumnRenamed("end", "p").join(both.withColumnRenamed("end", "q"), "mid").where("p < q")
+    open_ = forks.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct().join(edges, ["a", "b"], "left_anti")
+    apart = _judged(open_, members).where("not compatible").select(F.col("a").alias("p"), F.col("b").alias("q"))
+    risky = forks.join(apart, ["p", "q"]).select(F.explode(F.array("p", "q")).alias("end"), "mid").select(*_ordered("mid", "end")).distinct()
+    edges = edges.join(risky.withColumn("risky", F.lit(True)), ["a", "b"], "left").withColumn("risky", F.coalesce("risky", F.lit(False)))
+    edges = save(edges.where("shared or not risky").select("a", "b", "weak", "risky"), "edges")
+
+    def placed(part: DataFrame) -> DataFrame:
+        """Components that hold a pair of ``never``."""
+        p = part.select(F.col("node").alias("a"), "component")
+        return never.join(p, "a").join(p.withColumnRenamed("a", "b"), ["b", "component"]).select("component").distinct()
+
+    part = connected_components(edges.select("a", "b"), "initials")
+    p = part.select("component", F.col("node").alias("a"))
+    inside = p.join(p.withColumnRenamed("a", "b"), "component").where("a < b").select("a", "b").join(edges, ["a", "b"], "left_anti")
+    never = save(_judged(inside, members).where("not compatible").select("a", "b"), "incompatible")
+    for kind in ("weak", "risky", None):
+        in_broken = part.join(placed(part), "component", "left_semi").select(F.col("node").alias("a")).distinct()
+        marked = edges.join(in_broken.withColumn("broken", F.lit(True)), "a", "left")
+        edges = save(marked.where(F.col("broken").isNull() | (~F.col(kind) if kind else F.lit(False))).drop("broken"), "edges")
+        if kind:
+            part = connected_components(edges.select("a", "b"), "initials")
+    return edges.select("a", "b")
 
 
 def apply_overrides(clusters: DataFrame, merge: DataFrame, split: DataFrame, impute: DataFrame | None = None) -> DataFrame:

@@ -163,6 +163,29 @@ def test_imputation(spark):
     assert ("L. Gil Mora", "Luis Gil Mora") in {(r.a, r.b) for r in P.impute_initials(groups, co).collect()}
 
 
+def test_imputation_weak_and_cliques(spark):
+    """Weak: only the middle initial agrees.  Clique: a chain through initials whose ends are two people."""
+    names = ["Jesús A. Carrasco Ochoa", "Ariel Carrasco Ochoa", "Eva Rey Paz", "E. Rey Paz", "E. Rey", "Elsa Rey"]
+    groups = spark.createDataFrame([(x, x) for x in names], "name string, grp string")
+    assert P.impute_initials(groups.where("name like '%Carrasco%'")).collect() == []
+    every = spark.createDataFrame([(x, "z") for x in names], "grp string, co string")
+    got = {(r.a, r.b) for r in P.impute_initials(groups, every).collect()}
+    assert ("Ariel Carrasco Ochoa", "Jesús A. Carrasco Ochoa") in got
+    # Eva and Elsa never end in one component, whatever edges are left.
+    root = {x: x for x in names}
+    for _ in names:
+        for a, b in got:
+            root[a] = root[b] = min(root[a], root[b])
+    assert root["Eva Rey Paz"] != root["Elsa Rey"]
+
+
+def test_first_surname_and_weak():
+    name = lambda given, surname, hyphen=False: (tuple(given.split()), tuple(surname.split()), hyphen)
+    assert not N.first_surname_agrees(name("juan", "icaza"), name("maria j", "anchustegui icaza", True))
+    assert N.first_surname_agrees(name("l", "homilka"), name("liliana", "ines homilka"))
+    assert N.weak(name("jesus a", "carrasco"), name("ariel", "carrasco")) and not N.weak(name("jesus a", "carrasco"), name("jesus", "carrasco"))
+
+
 def test_corrections(spark):
     vocab = spark.createDataFrame([("hernandez", "surname", 9), ("hernadnez", "surname", 1), ("gil", "surname", 1), ("gila", "given", 9), ("ruiz", "surname", 5), ("ruis", "surname", 2)], "token string, role string, n long")
     assert {(r.token, r.corrected) for r in P.corrections(vocab).collect()} == {("hernadnez", "hernandez")}
