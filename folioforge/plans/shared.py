@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,3 +47,17 @@ def forget(*frames: DataFrame) -> None:
             jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+
+
+def forget_older(spark: SparkSession, days: float) -> list[str]:
+    """Delete tables of earlier sessions in the shared folder, last written ``days`` ago or more; their names.
+
+    Results read some tables lazily: ``days`` has to exceed the longest run."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/folioforge")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    old = [s.getPath() for s in fs.listStatus(root) if s.getModificationTime() <= (time.time() - days * 86400) * 1000]
+    for p in old:
+        fs.delete(p, True)
+    return sorted(p.getName() for p in old)

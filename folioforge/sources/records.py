@@ -36,20 +36,27 @@ def records(spark: SparkSession, root: str) -> DataFrame:
     return read_jsonl(spark, root, RECORD + ", repo string")
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside the target, then swap names: a failed write leaves the old table."""
-    spark = df.sparkSession
+def replace_dir(spark: SparkSession, staging: str, path: str) -> None:
+    """Swap the finished folder ``staging`` for ``path``."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    staging, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(staging)
-    target, new, gone = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, staging, old))
+    target, new, gone = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, staging, f"{path}.old-{uuid.uuid4().hex}"))
     fs = target.getFileSystem(conf)
-    if fs.exists(target):
-        fs.rename(target, gone)
+    had = fs.exists(target)
+    if had and not fs.rename(target, gone):
+        raise OSError(f"could not move {path}")
     if not fs.rename(new, target):
-        fs.rename(gone, target)
+        if had:
+            fs.rename(gone, target)
         raise OSError(f"could not swap {path}")
-    fs.delete(gone, True)
+    if had:
+        fs.delete(gone, True)
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Write beside the target, then swap names: a failed write leaves the old table."""
+    staging = f"{path}.new-{uuid.uuid4().hex}"
+    df.write.parquet(staging)
+    replace_dir(df.sparkSession, staging, path)
 
 
 def append_new(known: DataFrame, found: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
