@@ -22,8 +22,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops boilerplate lines of each source; a document that is nothing else is left for the next stage."""
-    out = linededup.drop_boilerplate(docs.select(*COLUMNS), whole_pages="keep")
+    """Drops boilerplate lines of each source; a document that is nothing else is left for the next stage, and near
+    copies don't make their own lines boilerplate."""
+    out = linededup.drop_boilerplate(docs.select(*COLUMNS), whole_pages="keep", copies="fold")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
