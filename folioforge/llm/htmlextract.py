@@ -5,8 +5,10 @@ a subtree stands; subtrees in many pages of a host are its template and go.  Bes
 class or id says that they are no article (menus, footers, adverts, comments and the like) go, and where a page has
 an article or main element, only that is kept.
 
+Pages of a host with equal main text count as one: copies of a page don't make its article template.  An element that
+holds an article, or most of the page's main text, is never taken for template as a whole; what is in it may be.
 Blocks of prose inside an article (paragraphs, headings, list items and so on) are never taken for template:
-quoted or copied passages also recur on a host.
+quoted passages and pages copied with edits also recur on a host.
 """
 
 from __future__ import annotations
@@ -143,12 +145,7 @@ def subtree_hashes(root: Node) -> dict[int, bool]:
     """Set each element's hash (64 bits, signed) and return those of elements with text; script and the like none."""
     found: dict[int, bool] = {}
 
-    order, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        order.append(node)
-        todo += [k for k in node.kids if isinstance(k, Node)]
-    for node in reversed(order):  # children first
+    for node in reversed(_order(root)):  # children first
         parts, text = [node.tag, " ".join(sorted(_names(node)))], False
         for k in node.kids:
             if isinstance(k, Node):
@@ -165,14 +162,18 @@ def subtree_hashes(root: Node) -> dict[int, bool]:
     return found
 
 
-def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """Blocks of the main text, one a line: of all outermost articles, else of main, else of the whole page."""
-    root = parse(html or "")
-    if template:
-        subtree_hashes(root)
+def _order(root: Node) -> list[Node]:
+    """All elements, parents first."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [k for k in node.kids if isinstance(k, Node)]
+    return order
 
-    def gone(node: Node, in_article: bool) -> bool:
-        return boilerplate(node, in_article) or (bool(template) and node.hash in template and not (in_article and node.tag in PROSE) and node.tag not in ("article", "main"))
+
+def _tops(root: Node, gone) -> list[Node]:
+    """Outermost articles, else main elements, that aren't inside an element that is ``gone``."""
 
     def find(tag: str) -> list[Node]:
         got, todo = [], [root]
@@ -184,7 +185,48 @@ def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset(
             todo += reversed([k for k in node.kids if isinstance(k, Node) and not (k.tag not in ("header",) and gone(k, False))])
         return got
 
-    tops = find("article") or find("main")
+    return find("article") or find("main")
+
+
+def own_text(root: Node) -> dict[Node, str]:
+    """Elements of the main text, as far as they say no else, with the text they hold directly, in order of pages."""
+    tops = _tops(root, boilerplate)
+    found: dict[Node, str] = {}
+    for top in tops or [root]:
+        todo = [top]
+        while todo:
+            node = todo.pop()
+            text = _WHITE.sub(" ", unescape(" ".join(k for k in node.kids if isinstance(k, str)))).strip()
+            if text:
+                found[node] = text
+            todo += reversed([k for k in node.kids if isinstance(k, Node) and not boilerplate(k, bool(tops))])
+    return found
+
+
+def whole(root: Node) -> set[Node]:
+    """Elements that hold an article or main element, or over half of the main text."""
+    own = own_text(root)
+    most = sum(map(len, own.values())) / 2
+    held: dict[Node, tuple[int, bool]] = {}
+    for node in reversed(_order(root)):
+        kids = [held[k] for k in node.kids if isinstance(k, Node)]
+        tops = node.tag in ("article", "main") or node.attrs.get("role", "").lower() == "main"
+        held[node] = (len(own.get(node, "")) + sum(k[0] for k in kids), tops or any(k[1] for k in kids))
+    return {node for node, (size, top) in held.items() if top or size > most}
+
+
+def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
+    """Blocks of the main text, one a line: of all outermost articles, else of main, else of the whole page."""
+    root = parse(html or "")
+    kept: set[Node] = set()
+    if template:
+        subtree_hashes(root)
+        kept = whole(root)
+
+    def gone(node: Node, in_article: bool) -> bool:
+        return boilerplate(node, in_article) or (bool(template) and node.hash in template and not (in_article and node.tag in PROSE) and node not in kept)
+
+    tops = _tops(root, gone)
     inside = bool(tops)
     blocks: list[str] = []
     held: list[str] = []
@@ -220,18 +262,29 @@ def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset(
 
 
 # --------------------------------------------------------------------------- Spark
+def page_profile(html: str) -> tuple[int, list[int]]:
+    """Hash of the main text; the subtrees' hashes, sorted."""
+    root = parse(html)
+    text = "\x00".join(own_text(root).values())
+    key = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    return int.from_bytes(key, "little", signed=True), sorted(subtree_hashes(root))
+
+
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, ratio: float = RATIO) -> DataFrame:
     """(host, hashes array<long>): subtrees that stand in at least ``min_pages`` pages of the host and in ``ratio`` of
-    them.  A page counts a subtree once; null url is host ''.  A host has at most (subtrees a page / ratio) such."""
+    them.  A page counts a subtree once; null url is host ''; pages of a host with equal main text are one page,
+    with the subtrees of one of them.  A host has at most (subtrees a page / ratio) such."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [list(subtree_hashes(parse(h.as_py() or ""))) for h in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["host", "hashes"])
+            found = [page_profile(h.as_py() or "") for h in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], ["host", "page", "hashes"])
 
     hosts = pages.select(host_of(F.col("url")).alias("host"), "html")
-    seen = hosts.mapInArrow(run, "host string, hashes array<long>").select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
-    total = hosts.select("host").groupBy("host").agg(F.count(F.lit(1)).alias("total"))
+    every = hosts.mapInArrow(run, "host string, page long, hashes array<long>")
+    folded = save(every.groupBy("host", "page").agg(F.min("hashes").alias("hashes")), "profiles")
+    seen = folded.select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
+    total = folded.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
     often = seen.where(F.col("n") >= min_pages).join(total, "host").where(F.col("n") >= ratio * F.col("total"))
     return often.groupBy("host").agg(F.collect_set("h").alias("hashes"))
 
@@ -239,7 +292,7 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, ratio: float =
 def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, ratio: float = RATIO) -> DataFrame:
     """``pages`` (url, html) with ``text``: the article's blocks joined by line feeds; '' for null or empty html.
 
-    Repeated rows count as pages.  A column named text is replaced.
+    Pages of equal main text count as one, repeated rows too.  A column named text is replaced.
     """
     pages = pages.drop("text")
     made = save(site_templates(pages, min_pages, ratio), "templates")
