@@ -61,14 +61,42 @@ def judge_nodes(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return urls.join(best, ["host", "path"], "left")
 
 
+def _no_dots(path: Column) -> Column:
+    """``path`` (empty, or from a slash on) without its dot segments."""
+    parts = F.split(F.regexp_replace(path, r"(/\.{1,2})$", "$1/"), "/")
+    up = lambda s: F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(1)))
+    kept = F.aggregate(parts, F.expr("cast(array() as array<string>)"), lambda s, x: F.when(x == "..", up(s)).when(x == ".", s).otherwise(F.concat(s, F.array(x))))
+    return F.array_join(kept, "/")
+
+
+def resolve(base: Column, target: Column) -> Column:
+    """The URL that ``target`` names on a page of URL ``base``.  A target with a scheme stays as it stands; null if
+    ``base`` has no ``://``."""
+    t = F.regexp_replace(F.trim(target), r"(?s)#.*$", "")
+    head = F.regexp_extract(base, r"^(?s:.*?)://[^/?#]*", 0)
+    scheme = F.regexp_extract(base, r"^(?s:.*?):", 0)
+    way = F.regexp_replace(F.regexp_extract(t, r"^[^?]*", 0), r"^//[^/]*", "")
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(base), r"^/((?s:.*)/)?", 1))
+    path = F.when(t.rlike(r"^/"), way).otherwise(F.concat(folder, way))
+    site = F.when(t.rlike(r"^//"), F.concat(scheme, F.regexp_extract(t, r"^//[^/?]*", 0))).otherwise(head)
+    joined = F.concat(site, _no_dots(path), F.regexp_extract(t, r"(?s)\?.*$", 0))
+    same = F.concat(head, path_of(base), t)
+    return F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), t).when(head == "", F.lit(None)).when(t == "", base).when(t.rlike(r"^\?"), same).otherwise(joined)
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(a, b): nodes of a page's URL and of its canonical link or refresh target, where absolute and different."""
+    """(a, b): nodes of a page's URL and of its canonical link or refresh target, where different.  Relative targets
+    are resolved against the page's first base element with an href, else its URL."""
     html = F.coalesce(F.col("html"), F.lit(""))
     links = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?is)\srel\s*=\s*[\"']?canonical\b"))
     canonical = F.transform(links, lambda t: F.regexp_extract(t, r"(?is)\shref\s*=\s*[\"']?([^\"'>\s]+)", 1))
     metas = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?is)\shttp-equiv\s*=\s*[\"']?refresh\b"))
     refresh = F.transform(metas, lambda t: F.regexp_extract(t, r"(?is)url\s*=\s*[\"']?([^\"'>\s]+)", 1))
-    pairs = pages.select(node_of(F.col("url")).alias("a"), F.explode(F.concat(canonical, refresh)).alias("t")).select("a", node_of(F.regexp_replace("t", "&amp;", "&")).alias("b"))
+    plain = lambda c: F.regexp_replace(c, "&amp;", "&")
+    named = plain(F.regexp_extract(html, r"(?is)<base\b[^>]*\shref\s*=\s*[\"']?([^\"'>\s]+)", 1))
+    found = pages.select(F.trim("url").alias("url"), named.alias("named"), F.explode(F.concat(canonical, refresh)).alias("t")).where("t <> ''")
+    found = found.select("url", "t", resolve(F.col("url"), F.col("named")).alias("base"))
+    pairs = found.select(node_of(F.col("url")).alias("a"), node_of(resolve(F.col("base"), plain(F.col("t")))).alias("b"))
     return pairs.where("a is not null and b is not null and a <> b").distinct()
 
 
