@@ -32,9 +32,16 @@ def node_of(url: Column) -> Column:
     return F.when(head != "", F.concat(F.translate(head, UPPER, UPPER.lower()), F.substring(u, F.length(head) + 1, F.length(u))))
 
 
+def rule_parts(rule: Column) -> tuple[Column, Column]:
+    """(host, path) of a rule: the path is what stands after the host, '' without a slash."""
+    host = F.substring_index(rule, "/", 1)
+    return F.lower(host), F.substring(rule, F.length(host) + 1, F.length(rule))
+
+
 def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     """struct<size, rule, verdict> of the longest of some literal rules that fits, or null."""
-    table = F.array(*[F.struct(F.lit(len(r)).alias("size"), F.lit(r).alias("rule"), F.lit(v).alias("verdict"), F.lit(r.partition("/")[0].lower()).alias("host"), F.lit("/" + r.partition("/")[2]).alias("path")) for r, v in rules])
+    parts = [(r, v, *rule_parts(F.lit(r))) for r, v in rules]
+    table = F.array(*[F.struct(F.lit(len(r)).alias("size"), F.lit(r).alias("rule"), F.lit(v).alias("verdict"), on.alias("host"), at.alias("path")) for r, v, on, at in parts])
     fits = F.filter(table, lambda r: ((host == r["host"]) | F.endswith(host, F.concat(F.lit("."), r["host"]))) & F.startswith(path, r["path"]))
     best = F.array_max(F.transform(fits, lambda r: F.struct(r["size"], r["rule"], r["verdict"])))
     return best
@@ -52,7 +59,8 @@ def judge_nodes(urls: DataFrame, rules: DataFrame) -> DataFrame:
         return urls.withColumn("_rule", F.expr("cast(null as struct<size: int, rule: string, verdict: string>)"))
     if len(listed) <= INLINE_RULES:
         return urls.withColumn("_rule", fitting_rule(F.col("host"), F.col("path"), sorted((r.rule, r.verdict) for r in listed)))
-    table = some.select("rule", "verdict", F.lower(F.substring_index("rule", "/", 1)).alias("_on"), F.expr("substring(rule, length(substring_index(rule, '/', 1)) + 1)").alias("_path"))
+    on, at = rule_parts(F.col("rule"))
+    table = some.select("rule", "verdict", on.alias("_on"), at.alias("_path"))
     pairs = urls.select("host", "path").distinct()
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
