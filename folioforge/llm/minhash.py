@@ -2,7 +2,7 @@
 
 Table keys are pairs (i, j) of one of ``LEFT`` small bands of 3 minima and one of ``RIGHT`` small bands of 2, so
 12 x 8 = 96 tables of 5 minima each cost 12*3 + 8*2 = 52 minima a document instead of 480.  A pair of Jaccard
-similarity 0.8 shares no table with probability 5e-4, one of 0.9 with 1e-7.
+similarity 0.8 shares no table with probability 5e-4, one of 0.9 with 2e-6.
 
 Exact copies (equal shingle sets) are first folded into one representative.  In each table, representatives are
 paired only with the smallest of their bucket (its hub), never with each other; links are confirmed on full
