@@ -19,6 +19,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 import zstandard
@@ -31,6 +32,8 @@ SKIPPABLE = 0x184D2A5E  # fixed values of the seekable format
 SEEKABLE = 0x8F92EAB1
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 64 << 20
+READ_TASKS = 100_000
+BROADCAST_ROWS = 200_000  # about 60 bytes each
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
 
 INDEX = "record_id string, page_id long, bundle string, frame long, frame_start long, frame_size long, at long, size long"
@@ -106,9 +109,15 @@ def _line(value: str) -> str:
     return re.sub(r"[\x00-\x1f\x7f]+", " ", value).strip()
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> tuple[str, bytes]:
-    """(record identifier, the record's bytes).  A revisit has the HTTP head with the full length and no payload."""
-    rid = f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'page:{page_id}:{digest}')}>"
+def record_id(page_id: int | None, digest: str, place: str | None = None) -> str:
+    """By page and payload; where several records have both in common, by their place in the archive too."""
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'page:{page_id}:{digest}' + (f':{place}' if place else ''))}>"
+
+
+def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, place: str | None = None, name_target: bool = True) -> tuple[str, bytes]:
+    """(record identifier, the record's bytes).  A revisit has the HTTP head with the full length and no payload; it names
+    the record it refers to unless several records of that page have the payload (``name_target``)."""
+    rid = record_id(page_id, digest, place)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {rid}", "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{digest}"]
@@ -117,7 +126,9 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, digest: st
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-Id: {refers_to}", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(NAMESPACE, f'page:{refers_to}:{digest}')}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-Id: {refers_to}"]
+        if name_target:
+            head.append(f"WARC-Refers-To: {record_id(refers_to, digest)}")
     head.append(f"Content-Length: {len(block)}")
     return rid, ("\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
@@ -155,17 +166,34 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def _attached(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``table``, by ``keys``, null-safe.  A table of at most ``BROADCAST_ROWS`` rows goes to
+    where the payloads are; a larger one is joined by shuffle, where Spark splits hot keys."""
+    table = save(table, "warc-keys")
+    if table.count() <= BROADCAST_ROWS:
+        table = F.broadcast(table)
+    on = [rows[k].eqNullSafe(table[k]) for k in keys]
+    return rows.join(table, reduce(lambda x, y: x & y, on), "left").select(rows["*"], *[table[c] for c in table.columns if c not in keys])
+
+
 def mark_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """``pages`` with ``payload`` (UTF-8 of html, null: empty) and ``refers_to``: the smallest page_id of the
-    records with an equal payload of at least ``least_bytes`` bytes, null where that is the page itself.
+    """page_id, url, payload (UTF-8 of html, null: empty), refers_to (the smallest page_id of the records with an equal
+    payload of at least ``least_bytes`` bytes, null where that is the page itself), repeated (several rows have this
+    page_id and payload, or there is no page_id) and target_repeated (the same of what it refers to).
 
-    Minima go by digest with partial sums; the join back is on the digest, whose hot values Spark splits.
+    Digests alone are shuffled to find the groups, with partial counts; what is then attached to the payloads is a row
+    for each payload that occurs more than once.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    full = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha", F.sha1("payload"))
-    first = full.where(F.length("payload") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "first")
+    full = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
+    counted = full.groupBy("sha", "page_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("payload")).alias("size"))
+    several = counted.groupBy("sha").agg(F.sum("n").alias("rows"), F.min("page_id").alias("first"), F.max("size").alias("size"), F.min_by("n", F.when(F.col("page_id").isNotNull(), F.col("page_id"))).alias("firsts")).where("rows > 1")
+    several = several.select("sha", F.when(F.col("size") >= least_bytes, F.col("first")).alias("first"), (F.col("firsts") > 1).alias("target_repeated"))
+    again = counted.where("n > 1 and page_id is not null").select("sha", "page_id", F.lit(True).alias("again"))
+    out = _attached(_attached(full, several, ["sha"]), again, ["sha", "page_id"])
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return full.join(first, "sha", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
+    own = F.col("page_id").isNull() | F.coalesce("again", F.lit(False))
+    return out.select("page_id", "url", "payload", refers.alias("refers_to"), own.alias("repeated"), F.coalesce("target_repeated", F.lit(False)).alias("target_repeated"))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
@@ -174,7 +202,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
 
     Null html is an empty payload, a null url leaves out the target, a null page_id leaves out the page number
     (such a row can be a revisit but is never referred to); rows repeated with the smallest page_id of their
-    payload are each a response; an empty table gives no bundle.  Other columns are ignored.
+    payload are each a response, and every repeated row is a record with an identifier of its own.  A record longer
+    than a frame is a frame by itself; one over 2 GiB is beyond Spark's rows.  An empty table gives no bundle.  Other
+    columns, whatever their names, are ignored.
     """
     spark = pages.sparkSession
     folder = folder or new_path(spark, "warc")
@@ -183,6 +213,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
         store, top = _open(folder)
         store.create_dir(top, recursive=True)
         out = name = writer = None
+        written = 0
         ids: list = []
         rows: list = []
 
@@ -193,14 +224,15 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
                 ids.clear()
 
         for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "url", "payload", "refers_to")]
-            for page, url, payload, refers in zip(*cols, strict=True):
-                page, url, payload, refers = page.as_py(), url.as_py(), payload.as_py(), refers.as_py()
+            cols = [batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "url", "payload", "refers_to", "repeated", "target_repeated")]
+            for row in zip(*cols, strict=True):
+                page, url, payload, refers, repeated, target_repeated = (x.as_py() for x in row)
                 if writer is None:
                     name = f"bundle-{uuid.uuid4().hex}.warc.zst"
                     out = store.open_output_stream(f"{top}/{name}", compression=None)
                     writer = BundleWriter(out, frame_bytes)
-                rid, record = make_record(page, url, payload, digest32(payload), refers)
+                written += 1
+                rid, record = make_record(page, url, payload, digest32(payload), refers, f"{name}:{written}" if repeated else None, not target_repeated)
                 ids.append((rid, page))
                 note(writer.add(record))
                 if writer.start >= bundle_bytes:
@@ -224,7 +256,14 @@ _RECORDS = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("url
 
 
 def read_archives(bundles: DataFrame, payloads: bool = True) -> DataFrame:
-    """All records of the bundles named in ``bundles`` (bundle string), frame by frame along each seek table."""
+    """All records of the bundles named in ``bundles`` (bundle string), frame by frame along each seek table.
+
+    Each bundle is a task, up to ``READ_TASKS`` of them; names are dealt evenly, as their number is known.  A bundle
+    named repeatedly is read once, null names are left out, an empty table gives no records; other columns are ignored.
+    A frame is held in memory at a time, so a very long record needs its own size.
+    """
+    names = save(bundles.select("bundle").where("bundle is not null").distinct(), "warc-bundles")
+    tasks = max(1, min(names.count(), READ_TASKS))
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,13 +276,16 @@ def read_archives(bundles: DataFrame, payloads: bool = True) -> DataFrame:
                             rows = [r | {"payload": None} for r in rows]
                         yield pa.RecordBatch.from_pylist(rows, schema=_RECORDS)
 
-    return bundles.select("bundle").where("bundle is not null").distinct().mapInArrow(read, RECORDS)
+    return names.repartition(tasks).mapInArrow(read, RECORDS)
+
 
+def lookup(index: DataFrame, record_ids: DataFrame, frames_a_task: int = 64) -> DataFrame:
+    """The records named in ``record_ids`` (record_id), each frame opened alone at its place in the index and read once.
 
-def lookup(index: DataFrame, record_ids: DataFrame) -> DataFrame:
-    """The records named in ``record_ids`` (record_id), each frame opened alone at its place in the index."""
-    wanted = index.join(record_ids.select("record_id").distinct(), "record_id", "left_semi")
+    Unknown and null identifiers find nothing; repeated ones count once; other columns are ignored."""
     order = ["bundle", "frame_start", "frame_size", "at", "size"]
+    wanted = save(index.join(record_ids.select("record_id").distinct(), "record_id", "left_semi").select(*order), "warc-wanted")
+    tasks = max(1, min(-(-wanted.select("bundle", "frame_start").distinct().count() // frames_a_task), READ_TASKS))
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, data = None, b""
@@ -258,7 +300,7 @@ def lookup(index: DataFrame, record_ids: DataFrame) -> DataFrame:
                 rows += parse_records(data[r["at"] : r["at"] + r["size"]])
             yield pa.RecordBatch.from_pylist(rows, schema=_RECORDS)
 
-    return wanted.select(*order).repartition("bundle", "frame_start").sortWithinPartitions(*order).mapInArrow(read, RECORDS)
+    return wanted.repartition(tasks, "bundle", "frame_start").sortWithinPartitions(*order).mapInArrow(read, RECORDS)
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:

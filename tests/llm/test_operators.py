@@ -36,6 +36,30 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.write_archives(pages(spark, []))).collect() == []
 
 
+def test_warc_ids_and_reading_tasks(spark):
+    """Every record has an identifier of its own, repeated and null pages too; each bundle is read by a task of its own."""
+    rows = [(1, "http://a/", "x" * 50, 1)] * 3 + [(None, "u", "x" * 50, 1)] * 2 + [(5, "u", "x" * 50, 1)] + [(k, "u", f"page {k} " * 9, 1) for k in range(100, 250)]
+    index = warc.write_archives(pages(spark, rows), frame_bytes=100, bundle_bytes=100)
+    ids = [r.record_id for r in index.collect()]
+    assert len(ids) == len(rows) == len(set(ids))
+    names = index.select("bundle").distinct().count()
+    got = warc.read_archives(index).withColumn("task", F.spark_partition_id()).collect()
+    assert names > 100 and len({r.task for r in got}) == names and {r.record_id for r in got} == set(ids)
+    found = warc.lookup(index, index.where("page_id = 1 or page_id = 5").select("record_id")).collect()
+    assert sorted(r.page_id for r in found) == [1, 1, 1, 5] and len({r.record_id for r in found}) == 4
+    # A pair without repeats: the revisit names its response's record.
+    two = warc.write_archives(pages(spark, [(1, "u", "same", 1), (2, "u", "same", 1)]))
+    assert two.where("page_id = 1").first().record_id == warc.record_id(1, warc.digest32(b"same"))
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_warc_revisits_by_either_join(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
+    rows = [(3, "u", "x", 1), (None, "u", "x", 1), (2, "u", "x", 1), (2, "u", "x", 1), (7, "u", None, 1), (8, "u", "", 1), (9, "u", "own", 1)]
+    got = sorted((r.page_id or 0, r.refers_to or 0, r.repeated, r.target_repeated) for r in warc.mark_revisits(pages(spark, rows)).collect())
+    assert got == [(0, 2, True, True), (2, 0, True, True), (2, 0, True, True), (3, 2, False, True), (7, 0, False, False), (8, 7, False, False), (9, 0, False, False)]
+
+
 def test_warc_least_bytes(spark):
     rows = [(1, "u", "ab", 1), (2, "u", "ab", 1), (3, "u", "abcd", 1), (4, "u", "abcd", 1)]
     got = {r.page_id: r.record_type for r in warc.read_archives(warc.write_archives(pages(spark, rows), least_bytes=3)).collect()}
