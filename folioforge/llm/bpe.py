@@ -1,9 +1,9 @@
 """BPE encoding and decoding of a published word-end tokenizer file.
 
-A word's symbols lie in one contiguous array of part boundaries with the rank of each adjacent pair; the lowest
-rank is found by a scan, its boundary deleted and the two neighbouring ranks refreshed.  Words longer than
-``SCAN_MOST`` symbols, where scans would take quadratic time, go through a heap that makes the same merges in the
-same order.  Finished words are kept in two tables of bounded size: when the young one is full it becomes the old
+A word's symbols stay where they are, in one string.  Two contiguous arrays describe its parts: their boundaries, and
+the rank of each adjacent pair.  A scan finds the lowest rank; its boundary is deleted and the two neighbouring
+ranks are refreshed.  Words longer than ``SCAN_MOST`` symbols, where scans would take quadratic time, go through a
+heap over the same boundaries that makes the same merges in the same order.  Finished words are kept in two tables of bounded size: when the young one is full it becomes the old
 one, and words still in use are taken over, so frequent words stay while rare ones pass through.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -46,17 +47,19 @@ class WordBpe:
         steps = [n["type"] for n in spec["normalizer"]["normalizers"]]
         if steps != ["NFC", "Replace", "Lowercase"] or model["type"] != "BPE" or spec["decoder"] is not None or model["byte_fallback"] or model["dropout"]:
             raise ValueError(f"{path} is of another kind")
+        if any(t[flag] for t in spec["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path} has added tokens that take white space, or only whole words or normalised text")
         self.vocab: dict[str, int] = model["vocab"]
         self.tokens = {i: t for t, i in self.vocab.items()}
         self.end = model["end_of_word_suffix"] or ""
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.ranks = {p: (k, p[0] + p[1]) for k, p in enumerate(pairs)}
+        self.ranks = {p: k for k, p in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.special.items()}
         by_length = sorted(self.special, key=len, reverse=True)
         self.special_pattern = regex.compile("|".join(map(regex.escape, by_length))) if by_length else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"[^\p{White_Space}", r"[^\p{White_Space}"))
+        self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         self.letters = byte_letters()
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
@@ -71,50 +74,55 @@ class WordBpe:
             return text.lower()
         return "σ".join(part.lower() for part in text.split("Σ"))  # letter by letter: no final sigma
 
-    def merge(self, parts: list[str]) -> list[str]:
-        if len(parts) > SCAN_MOST:
-            return self._merge_long(parts)
-        ranks, find = [NEVER] * len(parts), self.ranks.get
-        none = (NEVER, "")
-        for k in range(len(parts) - 1):
-            ranks[k] = find((parts[k], parts[k + 1]), none)[0]
-        while len(parts) > 1:
+    def merge(self, symbols: str, bounds: list[int]) -> list[int]:
+        """The boundaries that are left of ``bounds`` (0, ..., len(symbols)); the list is changed in place."""
+        if len(bounds) - 1 > SCAN_MOST:
+            return self._merge_long(symbols, bounds)
+        find = self.ranks.get
+        ranks = [find((symbols[a:b], symbols[b:c]), NEVER) for a, b, c in zip(bounds, bounds[1:], bounds[2:])]  # noqa: B905
+        while ranks:
             low = min(ranks)
             if low == NEVER:
                 break
             k = ranks.index(low)
-            parts[k] += parts.pop(k + 1)
-            ranks.pop(k)
-            ranks[k] = find((parts[k], parts[k + 1]), none)[0] if k + 1 < len(parts) else NEVER
+            del bounds[k + 1], ranks[k]
+            a, b = bounds[k], bounds[k + 1]
+            if k < len(ranks):
+                ranks[k] = find((symbols[a:b], symbols[b : bounds[k + 2]]), NEVER)
             if k:
-                ranks[k - 1] = find((parts[k - 1], parts[k]), none)[0]
-        return parts
+                ranks[k - 1] = find((symbols[bounds[k - 1] : a], symbols[a:b]), NEVER)
+        return bounds
 
-    def _merge_long(self, parts: list[str]) -> list[str]:
-        n, find = len(parts), self.ranks.get
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(r[0], k, parts[k], parts[k + 1]) for k in range(n - 1) if (r := find((parts[k], parts[k + 1])))]
+    def _merge_long(self, symbols: str, bounds: list[int]) -> list[int]:
+        n, find = len(bounds) - 1, self.ranks.get
+        end = bounds[1:]  # of the part that begins at boundary k; 0 once the boundary is deleted
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def pair(k: int) -> tuple[str, str] | None:
+            return (symbols[bounds[k] : end[k]], symbols[end[k] : end[after[k]]]) if after[k] < n else None
+
+        heap = [(r, k, p) for k in range(n - 1) if (r := find(p := pair(k))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, k, a, b = heapq.heappop(heap)
-            j = after[k] if alive[k] else n
-            if j >= n or parts[k] != a or parts[j] != b:
+            _, k, p = heapq.heappop(heap)
+            if not end[k] or pair(k) != p:
                 continue
-            parts[k], alive[j] = a + b, False
-            after[k] = after[j]
+            gone = after[k]
+            end[k], end[gone], after[k] = end[gone], 0, after[gone]
             if after[k] < n:
                 before[after[k]] = k
-                if r := find((parts[k], parts[after[k]])):
-                    heapq.heappush(heap, (r[0], k, parts[k], parts[after[k]]))
-            if (p := before[k]) >= 0 and (r := find((parts[p], parts[k]))):
-                heapq.heappush(heap, (r[0], p, parts[p], parts[k]))
-        return [x for x, keep in zip(parts, alive, strict=True) if keep]
+            for j in (k, before[k]):
+                if j >= 0 and (q := pair(j)) is not None and (r := find(q)) is not None:
+                    heapq.heappush(heap, (r, j, q))
+        return [b for b, e in zip(bounds, end, strict=False) if e] + [bounds[-1]]
 
     def encode_word(self, word: str) -> list[int]:
-        parts = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
-        parts[-1] += self.end
-        vocab = self.vocab
-        return [vocab[p] for p in self.merge(parts) if p in vocab]
+        """Ids of a piece of text; a part that the vocabulary lacks gives none."""
+        raw = word.encode("utf-8", "surrogatepass")
+        symbols = "".join([self.letters[b] for b in raw]) + self.end
+        bounds = self.merge(symbols, [*range(len(raw)), len(symbols)])
+        found = (self.vocab.get(symbols[a:b]) for a, b in itertools.pairwise(bounds))
+        return [i for i in found if i is not None]
 
     def word(self, word: str) -> tuple[str, str, int]:
         """A word's ids and tokens, each joined by blanks, and their number."""
@@ -187,7 +195,10 @@ def default_path() -> str:
 
 def token_digests(documents: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row; ids are joined by one space before hashing.
-    Null text is empty and has no tokens.  ``path`` is read on the executors."""
+
+    Null text is empty and has no tokens; a null doc_id is kept; repeated rows are each returned; whole texts are
+    encoded, whatever their length, in time that grows by n log n in a word's; an empty table gives no rows; other columns,
+    whatever their names, are ignored.  ``path`` is read on the executors."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path or default_path())
@@ -200,7 +211,7 @@ def token_digests(documents: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids array<int>, decoded string of each row; null text has no ids."""
+    """doc_id, ids array<int>, decoded string of each row, in all cases as :func:`token_digests`."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path or default_path())

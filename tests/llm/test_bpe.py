@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import pytest
@@ -39,15 +40,35 @@ def test_random_texts(both):
         assert own.encode(text) == lib.encode(text, add_special_tokens=False).ids
 
 
-def test_scan_and_heap_agree(both, monkeypatch):
+def brute_merge(ranks, parts):
+    """Without boundaries: the leftmost pair of lowest rank is joined, again and again."""
+    while True:
+        known = [(ranks[p], k) for k, p in enumerate(zip(parts, parts[1:], strict=False)) if p in ranks]
+        if not known:
+            return parts
+        k = min(known)[1]
+        parts = [*parts[:k], parts[k] + parts[k + 1], *parts[k + 2 :]]
+
+
+@pytest.mark.parametrize("scan_most", [10**9, 0])
+def test_scan_and_heap_against_brute_force(both, monkeypatch, scan_most):
     own, _ = both
+    monkeypatch.setattr(bpe, "SCAN_MOST", scan_most)
     rng = random.Random(6)
-    for _ in range(200):
-        parts = [rng.choice("abcdefghij") for _ in range(rng.randrange(2, 300))]
-        monkeypatch.setattr(bpe, "SCAN_MOST", 10**9)
-        a = own.merge(list(parts))
-        monkeypatch.setattr(bpe, "SCAN_MOST", 0)
-        assert own.merge(list(parts)) == a
+    for size in [1, 2, 3, *(rng.randrange(2, 120) for _ in range(120))]:
+        word = "".join(rng.choice("abcdeingthr") for _ in range(size))
+        symbols = word + own.end
+        bounds = own.merge(symbols, [*range(size), len(symbols)])
+        assert [symbols[a:b] for a, b in zip(bounds, bounds[1:], strict=False)] == brute_merge(own.ranks, [*word[:-1], word[-1] + own.end])
+        assert bounds[0] == 0 and bounds[-1] == len(symbols) and bounds == sorted(set(bounds))
+
+
+def test_other_files_are_refused(tmp_path):
+    spec = json.loads(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    spec["added_tokens"][0]["lstrip"] = True
+    (tmp_path / "x.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="added tokens"):
+        bpe.WordBpe(str(tmp_path / "x.json"))
 
 
 def test_cache_is_bounded(both, monkeypatch):
