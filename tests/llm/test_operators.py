@@ -230,35 +230,55 @@ def xx(*values):
     return seed
 
 
-def brute_fingerprint(text):
-    """By dictionaries instead of sorted longs; token k-mers of three."""
+def long_bytes(x, n=8):
+    return int(x).to_bytes(n, "little", signed=x < 0)
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def brute_fingerprint(text, at=24):
+    """By dictionaries instead of sorted longs: every draw's whole order of the numbered k-mers, round after round."""
     t = re.findall(r"\S{1,16}", text)
     seen, items = {}, []
     for i in range(len(t)):
-        h = xx(*t[i : i + 3]) >> omh.AT
-        items.append((h, i))
-    bins = {}
-    for h, i in items:
+        h = xx(*t[i : i + 3])
         o = seen.get(h, 0)
         seen[h] = o + 1
-        g = xxhash.xxh64_intdigest(int(o).to_bytes(4, "little"), xxhash.xxh64_intdigest(int(h).to_bytes(8, "little"), 42))
-        bins.setdefault(g >> 58, []).append((g >> omh.AT, i))
+        items.append((xxhash.xxh64_intdigest(long_bytes(o, 4), xxhash.xxh64_intdigest(long_bytes(h), 42)), i))
+    # Places of the numbered k-mers, by which ties in what is left of a hash go: by hash of the k-mer, then by position.
+    place = {i: k for k, (_, i) in enumerate(sorted(((signed(xx(*t[i : i + 3]) >> at << at), i) for i in range(len(t)))))}
+    draws = {}
+    for r in range(max(1, -(-omh.DRAWS * omh.DEALT // max(1, len(t))))):
+        for g, i in items:
+            y = xxhash.xxh64_intdigest(long_bytes(r, 4), xxhash.xxh64_intdigest(long_bytes(g), 42))
+            draws.setdefault(y >> 58, []).append((r, (y & ((1 << 48) - 1)) >> at, place[i], g, i))
     out = []
-    for b in sorted(bins):
-        low = [g for g, _ in sorted(sorted(bins[b], key=lambda x: x)[: omh.KEEP], key=lambda x: x[1])]
+    for d in sorted(draws):
+        low = []
+        for *_, g, i in sorted(draws[d]):
+            if (i, g) not in low and len(low) < omh.KEEP:
+                low.append((i, g))
         seed = 42
-        for g in low:
-            seed = xxhash.xxh64_intdigest(int(g).to_bytes(8, "little"), seed)
-        out.append(f"{b:02x}{seed & 0xFFFFFFFF:08x}")
+        for _, g in sorted(low):
+            seed = xxhash.xxh64_intdigest(long_bytes(g), seed)
+        out.append(f"{d:02x}{seed & 0xFFFFFFFF:08x}")
     return " ".join(out)
 
 
-def test_fingerprint_against_brute_force(spark):
+TEXTS = ["", "one", "a b", "x " * 300, "antidisestablishmentarianism " * 3]
+
+
+@pytest.mark.parametrize("at", [24, 40])
+def test_fingerprint_against_brute_force(spark, monkeypatch, at):
+    """With 40 bits for places, as a text of 2^39 tokens would have."""
+    monkeypatch.setattr(omh, "AT", at)
     rng = random.Random(7)
-    texts = ["", "one", "a b", "x " * 300, "antidisestablishmentarianism " * 3] + [" ".join(rng.choice("the of and x1 yy zz".split()) for _ in range(rng.randrange(5, 400))) for _ in range(20)]
+    texts = TEXTS + [" ".join(rng.choice("the of and x1 yy zz".split()) for _ in range(rng.choice([3, 9, 40, 200, 900]))) for _ in range(20)]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
     got = {r.k: r.f for r in df.select("k", omh.as_text(omh.fingerprint(F.col("text"))).alias("f")).collect()}
-    assert got == {k: brute_fingerprint(t) for k, t in enumerate(texts)}
+    assert got == {k: brute_fingerprint(t, at) for k, t in enumerate(texts)}
 
 
 def test_order_matters_and_likeness(spark):
@@ -269,6 +289,37 @@ def test_order_matters_and_likeness(spark):
     assert got[0] == 1 and got[1] < got[2] < 1 and got[2] > 0.8 and got[3] == got[4] == 0
 
 
+def test_order_of_short_texts(spark):
+    """Halves swapped: an independent order for each draw sees it in short texts too; one edit stays near."""
+    rng = random.Random(3)
+    rows = []
+    for n in (20, 40, 80):
+        for _ in range(10):
+            w = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            rows.append((n, " ".join(w), " ".join(w[n // 2 :] + w[: n // 2]), " ".join(["new", *w[1:]])))
+    df = spark.createDataFrame(rows, "n int, a string, b string, c string")
+    near = lambda x: F.avg(omh.likeness(omh.fingerprint(F.col("a")), omh.fingerprint(F.col(x))))
+    for r in df.groupBy("n").agg(near("b").alias("swapped"), near("c").alias("edited")).collect():
+        assert r.swapped < (0.45 if r.n < 80 else 0.55) and r.edited > r.swapped + 0.2
+
+
+def test_op7_query_against_brute_force(spark, tmp_path):
+    rows = [(5, "one two three four"), (1, None), (9, "x" * 7), (3, ""), (4, "é 日本 a b c d")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in omh.op7_order_minhash(spark, str(tmp_path)).collect()}
+    order = sorted((k, t or "") for k, t in rows)
+    for (k, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        r = got[k]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        own = lambda x: set(x.split())
+        for name, other in (("near_edited", r.edited_fingerprint), ("near_next", got[next(i for i, x in rows if (x or "") == after and i != k)].fingerprint)):
+            a, b = own(r.fingerprint), own(other)
+            draws = {x[:2] for x in a | b}
+            assert math.isclose(r[name], len(a & b) / len(draws) if draws else 1.0)
+    assert got[5].fingerprint == brute_fingerprint("one two three four")
+
+
 @pytest.mark.parametrize("size", [1, 3, 1000])
 def test_next_document(spark, size):
     ids = random.Random(1).sample(range(10_000), 97)
@@ -281,6 +332,9 @@ def test_next_document(spark, size):
 def test_next_document_edges(spark, docs):
     assert omh.with_next(docs.select("doc_id", "text"), "text", group_rows=2).count() == 7
     assert omh.with_next(docs.select("doc_id", "text").limit(0), "text").collect() == []
+    clash = docs.select("doc_id", "text", *[F.lit(7).alias(c) for c in ("folio_to", "folio_lent", "_to", "_g", "folio_inner")])
+    got = omh.with_next(clash, "text", group_rows=2)
+    assert set(clash.columns) <= set(got.columns) and {r.folio_to for r in got.collect()} == {7}
 
 
 # ------------------------------------------------------------------ 8 URLs
