@@ -9,13 +9,15 @@ paired only with the smallest of their bucket (its hub), never with each other;
 shingle sets and joined into components.  Where a bucket is then still split between components, its members are
 searched exhaustively by a prefix filter: if two sets have similarity >= t, they share one of their
 n - ceil(t*n) + 1 rarest shingles.  So every pair that shares a bucket is either joined or compared, whatever the
-size of the bucket, and no group's pairs are all emitted.
+size of the bucket.  The filter also bounds where in its order a set may meet a partner of a given size (see
+``_prefix_pairs``), so that pages which share a template but stay below the threshold don't meet there at all.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ LEFT, LEFT_ROWS, RIGHT, RIGHT_ROWS = 12, 3, 8, 2
 BROADCAST_IDS = 1_000_000  # 8 bytes each
 KEYED_ROWS = 10_000  # representatives whose keys one task makes
 PAIRS_A_TASK = 128  # of one representative, when pairs meet its set
+PAIRS_A_SHARE = 1_000_000  # of one shingle and size class, when sets look for partners
+CLASS = 1.05  # between size classes
 
 _seeds = mix(np.arange(1, 2 * (LEFT * LEFT_ROWS + RIGHT * RIGHT_ROWS) + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 FACTORS = (_seeds[0::2] | np.uint64(1))[:, None]
@@ -80,6 +84,10 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def _kind(documents: DataFrame) -> str:
+    return documents.schema["doc_id"].dataType.simpleString()
+
+
 def _sketches(documents: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, set_id (128 bits of the set, null if empty), bands."""
 
@@ -92,7 +100,7 @@ def _sketches(documents: DataFrame, width: int) -> DataFrame:
                 found.append(bands(s).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_id", "bands"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {_kind(documents)}, n_shingles long, set_id binary, bands array<long>")
 
 
 def _full_sets(documents: DataFrame, width: int) -> DataFrame:
@@ -100,7 +108,7 @@ def _full_sets(documents: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in shingle_sets(batch.column(1), width)], pa.list_(pa.int64()))], ["id", "s"])
 
-    return documents.mapInArrow(run, "id long, s array<long>")
+    return documents.mapInArrow(run, f"id {documents.schema['id'].dataType.simpleString()}, s array<long>")
 
 
 def _keys(reps: DataFrame) -> DataFrame:
@@ -116,13 +124,14 @@ def _similar(a: Column, b: Column, percent: int) -> Column:
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``documents`` (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable over
+    """Per row of ``documents`` (doc_id of any ordered type, text): doc_id, n_shingles, component_id (smallest doc_id reachable over
     links of Jaccard similarity >= ``percent`` / 100 between distinct shingle sets), kept (doc_id is the
     component's).
 
-    Null, empty and blank texts have an empty set and link with nothing; shorter texts are one shingle.  Rows with
-    the same doc_id count as one document: they share a component, and each is returned.  A row without doc_id is linked with nothing: its
-    component is null and it is kept.  Other columns are ignored.
+    Null, empty and blank texts have an empty set and link with nothing; shorter texts are one shingle; whole texts count,
+    whatever their length.  Rows with the same doc_id count as one document: they share a component, and each is
+    returned.  A row without doc_id is linked with nothing: its component is null and it is kept.  An empty table gives
+    no rows.  Other columns, whatever their names, are ignored.
     """
     spark = documents.sparkSession
     sketch = save(_sketches(documents, width), "sketches")
@@ -138,8 +147,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     wanted = save(members.select("id").distinct(), "wanted")
     n_wanted = wanted.count()
     side = F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted
-    chosen = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text").join(side, "id", "left_semi")
-    sets = save(_full_sets(chosen, width), "sets") if n_wanted else spark.createDataFrame([], "id long, s array<long>")
+    chosen = documents.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text").join(side, "id", "left_semi")
+    sets = save(_full_sets(chosen, width), "sets") if n_wanted else spark.createDataFrame([], f"id {_kind(documents)}, s array<long>")
     # A doc_id with several texts has several sets: all are compared.
 
     # First each representative against its smallest hub, then whatever is still apart.
@@ -208,20 +217,46 @@ def _apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
     return pairs.join(x, "id", "left").join(y, "hub", "left").where(F.coalesce("c1", "id") != F.coalesce("c2", "hub")).select("id", "hub")
 
 
+def _shared(a: Column, b: Column, percent: int) -> Column:
+    """Least intersection of two sets of sizes a and b that are as similar as asked."""
+    return F.floor(((a + b) * percent + 99 + percent) / (100 + percent))
+
+
 def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """(id, hub) of sets (id, s, c) with different c that may be similar: they share one of their rarest shingles,
-    their sizes allow it, and so do the places of that shingle (the first that a pair shares leaves enough after it)."""
+    """(id, hub) of sets (id, s, c) with different c that may be similar.
+
+    Shingles are ordered by rarity.  If sets of sizes a >= b are similar, they share ``_shared(a, b)`` shingles, and the
+    first that they share has at least as many from it on, in either order.  So the smaller set is listed under the
+    shingles that leave enough for a partner of its own size, which is about half of what a partner of any size
+    would need, and the larger one looks its shingles up under size classes (``CLASS`` apart), in each of them only those
+    that leave enough for it.  Sets that share most of their shingles but too few thus never meet under a common one.
+
+    A shingle of one component only is left out; the lookups of one that still makes many pairs are dealt to several tasks.
+    """
     sets = save(sets, "unsettled-sets")
-    often = sets.select(F.explode("s").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    often = sets.select("c", F.explode("s").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("x", "n")
     ranked = sets.select("id", "c", F.size("s").alias("size"), F.explode("s").alias("x")).join(often, "x", "left")
-    rare_first = ranked.groupBy("id", "c", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), F.col("x")))).alias("o"))
-    needed = F.col("size") - F.floor((F.col("size") * percent + 99) / 100).cast("int") + 1
-    tokens = rare_first.withColumn("o", F.slice("o", F.lit(1), needed))
-    tokens = save(tokens.select("id", "c", "size", F.posexplode("o").alias("at", "e")).where("e.n > 1").select("id", "c", "size", (F.col("size") - F.col("at")).alias("rest"), F.col("e.x").alias("x")), "prefix-tokens")
-    a, b = tokens.alias("a"), tokens.alias("b")
-    on = (F.col("a.x") == F.col("b.x")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.c") != F.col("b.c")) & (F.col("a.size") * 100 >= F.col("b.size") * percent) & (F.col("b.size") * 100 >= F.col("a.size") * percent)
-    on = on & (F.least("a.rest", "b.rest") * (100 + percent) >= (F.col("a.size") + F.col("b.size")) * percent)
-    return a.join(b, on).select(F.col("b.id").alias("id"), F.col("a.id").alias("hub")).distinct()
+    # Shingles without a partner in another component come first: they are as rare as any.
+    rare_first = ranked.groupBy("id", "c", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("x")))).alias("o"))
+    least = F.floor((F.col("size") * percent + 99) / 100).cast("int")
+    tokens = rare_first.withColumn("o", F.slice("o", F.lit(1), F.col("size") - least + 1))
+    tokens = tokens.select("id", "c", "size", F.posexplode("o").alias("at", "e")).where("e.n > 1").select("id", "c", "size", (F.col("size") - F.col("at")).alias("rest"), F.col("e.x").alias("x"))
+    class_of = lambda n: F.floor(F.log(n) / float(np.log(CLASS))).cast("int")
+    smallest = lambda k: F.greatest(least, (F.floor(F.pow(F.lit(CLASS), k)) - 1).cast("int"))
+    classes = F.filter(F.sequence(class_of(least), class_of(F.col("size"))), lambda k: F.col("rest") >= _shared(F.col("size"), smallest(k), percent))
+    listed = F.when(F.col("rest") >= _shared(F.col("size"), F.col("size"), percent), F.array(F.struct(F.lit(True).alias("listed"), class_of(F.col("size")).alias("k")))).otherwise(F.expr("cast(array() as array<struct<listed: boolean, k: int>>)"))
+    rows = tokens.select("*", F.explode(F.concat(F.transform(classes, lambda k: F.struct(F.lit(False).alias("listed"), k.alias("k"))), listed)).alias("r")).select("id", "c", "size", "rest", "x", "r.listed", "r.k")
+    rows = save(rows, "prefix-tokens")
+    count = F.count_if
+    keys = rows.groupBy("x", "k").agg(count("listed").alias("n_listed"), count(~F.col("listed")).alias("n_looked"), F.min("c").alias("low"), F.max("c").alias("high")).where("n_listed > 0 and n_looked > 0 and low < high")
+    keys = keys.select("x", "k", F.least("n_looked", F.ceil(F.col("n_looked") * F.col("n_listed") / PAIRS_A_SHARE)).cast("int").alias("shares"))
+    met = rows.join(keys, ["x", "k"])
+    a = met.where(~F.col("listed")).withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int")).alias("a")
+    b = met.where("listed").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).alias("b")
+    on = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("x", "k", "share")])
+    on = on & (F.col("a.c") != F.col("b.c")) & ((F.col("a.size") > F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.id") > F.col("b.id"))))
+    on = on & (F.col("b.size") * 100 >= F.col("a.size") * percent) & (F.least("a.rest", "b.rest") >= _shared(F.col("a.size"), F.col("b.size"), percent))
+    return a.join(b, on).select(F.greatest("a.id", "b.id").alias("id"), F.least("a.id", "b.id").alias("hub")).distinct()
 
 
 def op6_minhash(spark, sf_dir: str) -> DataFrame:

@@ -213,6 +213,42 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, share):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
 
 
+def family(n, common, own):
+    """Sets that share ``common`` shingles, each with ``own`` of its own."""
+    return [(k, [*range(common), *range(10**6 + k * own, 10**6 + (k + 1) * own)], k) for k in range(n)]
+
+
+def test_template_families_below_the_threshold_do_not_meet(spark):
+    """400 shared and 82 own shingles (0.71), and 400 and 51 (0.797): members never meet; at 49 (0.803) they have to."""
+    for n in (300, 3000):
+        rows = spark.createDataFrame(family(n, 400, 82), "id long, s array<long>, c long")
+        assert minhash._prefix_pairs(rows, 80).count() == 0
+    near = lambda own: minhash._prefix_pairs(spark.createDataFrame(family(40, 400, own), "id long, s array<long>, c long"), 80).count()
+    assert near(51) == 0 and near(49) == 40 * 39 // 2
+
+
+@pytest.mark.parametrize("share", [1_000_000, 2])
+def test_prefix_pairs_miss_nothing(spark, monkeypatch, share):
+    monkeypatch.setattr(minhash, "PAIRS_A_SHARE", share)
+    rng = random.Random(4)
+    sets = []
+    for g in range(25):
+        base = rng.sample(range(3000), rng.choice([1, 5, 20, 60, 61, 64]))
+        for _ in range(6):
+            s = set(base) - set(rng.sample(base, min(len(base) - 1, rng.choice([0, 0, 1, 2, 6])))) | set(rng.sample(range(3000), rng.choice([0, 1, 3, 9])))
+            sets.append((len(sets), sorted(s), rng.choice([len(sets), g])))
+    got = {(r.hub, r.id) for r in minhash._prefix_pairs(spark.createDataFrame(sets, "id long, s array<long>, c long"), 80).collect()}
+    similar = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    want = {(i, j) for (i, a, c), (j, b, d) in itertools.combinations(sets, 2) if c != d and similar(set(a), set(b))}
+    assert want and want <= got
+
+
+def test_near_duplicates_of_string_ids(spark):
+    rows = [("b", "one two three four five six"), ("a", "one two three four five six"), ("c", "other"), (None, "other")]
+    got = {r.doc_id: (r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"a": ("a", True), "b": ("a", False), "c": ("c", True), None: (None, True)}
+
+
 def test_near_duplicates_edges(spark, docs):
     got = minhash.near_duplicates(docs).collect()
     assert len(got) == 7
