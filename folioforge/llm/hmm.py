@@ -1,19 +1,22 @@
 """Hidden Markov language model, trained by Baum-Welch over the whole training split.
 
-Words are counted exactly, by 64-bit hash.  The ``HEAD`` most frequent are symbols of their own; each other word
-belongs to one of ``TAILS`` classes by its last letters.  A state emits a symbol; a word of the tail then follows
-from its class in proportion to its count plus one, with one share for all words never seen.  So the model is of
-fixed size while counts of the unbounded rest stay a distributed table, joined only with the texts' tail words.
+Words are counted exactly, by 64-bit hash.  The ``HEAD`` most frequent that occur ``LEAST`` times are symbols of their own; each
+other word belongs to one of ``TAILS`` classes by its last letters.  A state emits a symbol; a word of the tail then follows
+from its class in proportion to its count plus one, with one share for all words never seen.  HEAD is the model's
+size, as the number of states is: what a worker holds is (HEAD + TAILS) x states numbers.  Counts of the unbounded
+rest stay a distributed table, joined only with the texts' tail words.
 
 Training: expected transition, start and emission counts are computed by forward-backward on each partition and
-summed across partitions, for ``PASSES`` passes over all training documents.  States start from EM over a bounded
-sample (``WARM_TOKENS`` tokens of whole documents), which only breaks the symmetry.  Scores are exact: the scaled
-forward recursion runs over each whole text, end token included.
+summed across partitions, for passes over all training documents until the likelihood gains less than ``TOLERANCE``
+or ``PASSES`` are done.  States start from seeds: frequent words that stand in few documents together, by counts
+over all training documents; each document then counts towards the seed that is most over-represented in it.
+Scores are exact: the scaled forward recursion runs over each whole text, end token included.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import itertools
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,10 +27,11 @@ from pyspark.sql import functions as F
 from .common import LOWER, Words, mix, save, text_blocks, with_fields
 from .langid import split_by_crc
 
-HEAD, TAILS = 60_000, 4096
-STATES, PASSES, WARM_PASSES = 8, 2, 30
-WARM_TOKENS = 600_000
-SEGMENT = 1 << 16  # a longer text's backward pass is cut into such pieces in training
+HEAD, TAILS = 1 << 18, 4096
+LEAST = 4  # occurrences of a head word: rarer ones say more by their endings than by themselves
+STATES, PASSES, TOLERANCE = 8, 3, 1e-3
+SEEDS = 64  # frequent words among which the states' seeds are looked for
+BLOCK_TOKENS = 150_000  # whose forward variables training holds at a time
 PRIOR = 20_000.0  # tokens of the whole split's unigrams that each state's emissions start from
 END = 1  # the end token's hash
 FLUSH = 4_000_000
@@ -96,20 +100,20 @@ class Vocabulary:
         return mass / mass.sum()
 
 
-def vocabulary(words: DataFrame, head: int = HEAD) -> Vocabulary:
-    """The head are all words above a count, the lowest on a logarithmic scale that leaves at most ``head`` of them, so
+def vocabulary(words: DataFrame, head: int = HEAD, least_count: int = LEAST) -> Vocabulary:
+    """The head are all words from a count on, ``least_count`` or the lowest on a logarithmic scale that leaves at most ``head`` of them, so
     that only the head and a histogram of some thousand bins reach the driver."""
     total = words.agg(F.sum("n"), F.count(F.lit(1))).first()
     level = F.floor(F.log2("n") * 128)
     least, held = None, 1
-    for r in words.where("class >= 0").groupBy(level.alias("level")).count().orderBy(F.col("level").desc()).collect():
+    for r in words.where((F.col("class") >= 0) & (F.col("n") >= least_count)).groupBy(level.alias("level")).count().orderBy(F.col("level").desc()).collect():
         held += r["count"]
         if held > head:
             break
         least = r.level
     chosen = (F.col("hash") == END) & (F.col("class") == -1)
     if least is not None:
-        chosen = chosen | (level >= least)
+        chosen = chosen | ((level >= least) & (F.col("n") >= least_count))
     top = words.where(chosen).select("hash", "n", "class").toPandas()
     mass = np.ones(TAILS)
     for r in words.where("class >= 0").groupBy("class").agg(F.sum(F.col("n") + 1).alias("m")).collect():
@@ -125,7 +129,7 @@ ENCODED = "syms binary, n_tokens long, head_known long, head_log double, tails a
 
 
 def encode(documents: DataFrame, voc: Vocabulary, carry: list[str]) -> DataFrame:
-    """Per row: ``carry``, its symbols (uint16), and its distinct tail words with their counts."""
+    """Per row: ``carry``, its symbols (int32), and its distinct tail words with their counts."""
     kept = documents.select(*carry, "text")
     schema = with_fields(kept.drop("text"), ENCODED)
 
@@ -144,7 +148,7 @@ def encode(documents: DataFrame, voc: Vocabulary, carry: list[str]) -> DataFrame
                 for a, b in zip(w.bounds[:-1], w.bounds[1:], strict=True):
                     inside = head[a:b]
                     x = at[a:b][inside]
-                    syms.append(np.append(sym[a:b], end if has_end else size).astype(np.uint16).tobytes())
+                    syms.append(np.append(sym[a:b], end if has_end else size).astype(np.int32).tobytes())
                     n.append(b - a + 1)
                     known.append(len(x) + has_end)
                     log.append(float(logs[x].sum() + (logs[end] if has_end else 0.0)))
@@ -161,10 +165,10 @@ def encode(documents: DataFrame, voc: Vocabulary, carry: list[str]) -> DataFrame
 class Hmm:
     start: np.ndarray  # K
     move: np.ndarray  # K x K
-    emit: np.ndarray  # symbols x K
+    emit: np.ndarray  # symbols x K, single precision
 
 
-def _groups(seqs: list[np.ndarray], rows: int = 256, tokens: int = 150_000) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+def _groups(seqs: list[np.ndarray], rows: int = 1024, tokens: int = BLOCK_TOKENS) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     """Sequences, longest first, in groups: their places, symbols time by time, and how many go on at each time."""
     order = sorted(range(len(seqs)), key=lambda k: -len(seqs[k]))
     a = 0
@@ -199,128 +203,199 @@ def log_likelihood(model: Hmm, seqs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected_counts(model: Hmm, seqs: list[np.ndarray], emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Baum-Welch: (start counts, transition counts); emission counts are added to ``emit``."""
+def _forward(model: Hmm, e: np.ndarray, width: np.ndarray, before: np.ndarray | None, keep: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """(scaled forward variables of the last time, those of all times, all scales) for emissions ``e`` along ``width``,
+    from the variables of the time before, or the start."""
+    alpha, scale = (np.empty(e.shape), np.empty(len(e))) if keep else (None, None)
+    at = 0
+    for n in width:
+        before = (model.start if before is None else before[:n] @ model.move) * e[at : at + n]
+        c = before.sum(axis=1)
+        before /= c[:, None]
+        if keep:
+            alpha[at : at + n], scale[at : at + n] = before, c
+        at += n
+    return before, alpha, scale
+
+
+def expected_counts(model: Hmm, seqs: list[np.ndarray], emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Baum-Welch: (start counts, transition counts, log10 likelihood); emission counts are added to ``emit``.
+
+    Long sequences are gone through in blocks of ``BLOCK_TOKENS``: a first sweep keeps the forward variables at the
+    blocks' ends, from which those inside a block are made again on the way back.  So counts don't depend on length.
+    """
     k = len(model.start)
-    start, move = np.zeros(k), np.zeros((k, k))
-    pieces = [s[a : a + SEGMENT] for s in seqs for a in range(0, len(s), SEGMENT)]
-    for _, flat, width in _groups(pieces):
-        e = model.emit[flat]
-        alpha, scale = np.empty_like(e), np.empty(len(e))
-        at, last = 0, None
-        for n in width:
-            now = model.start * e[:n] if last is None else (last[:n] @ model.move) * e[at : at + n]
-            c = now.sum(axis=1)
-            now /= c[:, None]
-            alpha[at : at + n], scale[at : at + n] = now, c
-            last, at = now, at + n
-        gamma, beta = np.empty_like(e), None
-        ahead = np.empty_like(e)  # emission times beta over scale, of each symbol
-        before = np.empty(len(e), np.int64)  # place of each symbol's predecessor
-        for t in range(len(width) - 1, -1, -1):
-            n = width[t]
-            at -= n
-            full = np.ones((n, k))
-            if beta is not None:
-                m = width[t + 1]
-                full[:m] = ahead[at + n : at + n + m] @ model.move.T
-                before[at + n : at + n + m] = np.arange(at, at + m)
-            beta = full
-            gamma[at : at + n] = alpha[at : at + n] * beta
-            ahead[at : at + n] = e[at : at + n] * beta / scale[at : at + n, None]
-        gamma /= gamma.sum(axis=1, keepdims=True)
-        first = width[0]
-        start += gamma[:first].sum(axis=0)
-        move += model.move * (alpha[before[first:]].T @ ahead[first:])
-        for j in range(k):
-            emit[:, j] += np.bincount(flat, gamma[:, j], len(emit))
-    return start, move
+    start, move, log = np.zeros(k), np.zeros((k, k)), 0.0
+    for _, flat, width in _groups(seqs):
+        ends = np.cumsum(width)
+        cuts = [0, *(np.flatnonzero(np.diff(ends // BLOCK_TOKENS)) + 1), len(width)]
+        blocks = [(slice(ends[a] - width[a], ends[b - 1]), width[a:b]) for a, b in itertools.pairwise(cuts)]
+        heads: list = [None]
+        for at, wide in blocks[:-1]:
+            heads.append(_forward(model, model.emit[flat[at]].astype(float), wide, heads[-1], False)[0])
+        after = None  # emission times beta over scale, of the first time after the block
+        for (at, wide), head in zip(reversed(blocks), reversed(heads), strict=True):
+            own = flat[at]
+            e = model.emit[own].astype(float)
+            last, alpha, scale = _forward(model, e, wide, head)
+            log += float(np.log10(scale).sum())
+            if after is not None:
+                move += last[: len(after)].T @ after
+            e /= scale[:, None]  # and then times beta
+            gamma, p = alpha.copy(), len(own)
+            for n in wide[::-1]:
+                p -= n
+                if after is not None:
+                    m = len(after)
+                    beta = after @ model.move.T
+                    gamma[p : p + m] *= beta
+                    e[p : p + m] *= beta
+                after = e[p : p + n]
+            # A symbol's predecessor stands as many places before it as sequences go on at the time before.
+            first = wide[0]
+            move += alpha[np.arange(first, len(own)) - np.repeat(wide[:-1], wide[1:])].T @ e[first:]
+            gamma /= gamma.sum(axis=1, keepdims=True)
+            if head is None:
+                start += gamma[:first].sum(axis=0)
+            used, places = np.unique(own, return_inverse=True)
+            sums = np.bincount((places[:, None] * k + np.arange(k)).ravel(), gamma.ravel(), len(used) * k)
+            emit[used] += sums.reshape(-1, k)
+    return start, model.move * move, log
 
 
 def from_counts(start: np.ndarray, move: np.ndarray, emit: np.ndarray, prior: np.ndarray) -> Hmm:
     emit = emit + PRIOR * prior[:, None]
     move = move + 1.0 + 9.0 * np.eye(len(start))
-    return Hmm((start + 1) / (start + 1).sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
-
-
-def warm_start(seqs: list[np.ndarray], prior: np.ndarray, states: int, passes: int) -> Hmm:
-    """EM from random states, each lasting for about a document."""
-    rng = np.random.default_rng(1)
-    emit = np.zeros((len(prior), states))
-    for s in seqs:
-        emit[:, rng.integers(states)] += np.bincount(s, minlength=len(prior))
-    model = from_counts(np.ones(states), np.eye(states) * 1e4, emit, prior)
-    for _ in range(passes):
-        emit = np.zeros_like(emit)
-        model = from_counts(*expected_counts(model, seqs, emit), emit, prior)
-    return model
+    return Hmm((start + 1) / (start + 1).sum(), move / move.sum(axis=1, keepdims=True), (emit / emit.sum(axis=0)).astype(np.float32))
 
 
 def _sequences(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), np.uint16) for x in column]
+    return [np.frombuffer(x.as_py(), np.int32) for x in column]
 
 
-def baum_welch_pass(encoded: DataFrame, model: Hmm, prior: np.ndarray) -> Hmm:
-    """One pass over ``encoded`` (syms): counts of each partition, summed by symbol across partitions."""
-    k, size = len(model.start), len(prior)
+def _summed(encoded: DataFrame, k: int, of_batch: Callable[[list[np.ndarray], dict], None]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, rows of k columns): symbols' emission counts and, with ids from -1 down, other rows, filled in for each
+    partition by ``of_batch`` (``emit`` and ``rest`` of its dict) and summed across partitions."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((size, k))
-        seen = False
+        found: dict = {}
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
-                s, m = expected_counts(model, _sequences(batch.column(0)[a : a + 2048]), emit)
-                start, move, seen = start + s, move + m, True
-        if seen:
+                of_batch(_sequences(batch.column(0)[a : a + 2048]), found)
+        if found:
+            emit, rest = found.get("emit", np.zeros((0, k))), found.get("rest", np.zeros((0, k)))
             used = np.flatnonzero(emit.any(axis=1))
-            rows = np.concatenate([emit[used], move, start[None]])
-            ids = np.concatenate([used, -1 - np.arange(k), [-1 - k]])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(rows[:, j]) for j in range(k))], ["id", *(f"s{j}" for j in range(k))])
+            rows = np.concatenate([emit[used], rest])
+            ids = np.concatenate([used, -1 - np.arange(len(rest))]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(rows[:, j]) for j in range(k))], ["id", *(f"s{j}" for j in range(k))])
 
     counts = encoded.select("syms").mapInArrow(run, "id long, " + ", ".join(f"s{j} double" for j in range(k)))
     total = counts.groupBy("id").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toPandas()
-    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((size, k))
     ids, values = total["id"].to_numpy(np.int64), total[[f"s{j}" for j in range(k)]].to_numpy(float)
-    emit[ids[ids >= 0]] = values[ids >= 0]
-    for i, v in zip(ids[ids < 0], values[ids < 0], strict=True):
-        if i == -1 - k:
-            start = v
-        else:
-            move[-1 - i] = v
-    return from_counts(start, move, emit, prior)
-
-
-def train(encoded: DataFrame, voc: Vocabulary, states: int = STATES, passes: int = PASSES, warm_passes: int = WARM_PASSES, warm_tokens: int = WARM_TOKENS) -> Hmm:
-    prior = voc.prior()
-    tokens = max(1, voc.tokens)
-    at = F.pmod(F.xxhash64("syms"), F.lit(1 << 30)) / float(1 << 30)
-    some = encoded.withColumn("at", at).where(F.col("at") < min(1.0, 1.1 * warm_tokens / tokens)).select("at", "syms").collect()
-    warm, held = [], 0
-    for r in sorted(some, key=lambda r: (r["at"], bytes(r.syms))):
-        s = np.frombuffer(r.syms, np.uint16)
-        if held + len(s) > warm_tokens and warm:
-            continue
-        warm.append(s)
-        held += len(s)
-    model = warm_start(warm, prior, states, warm_passes)
-    for _ in range(passes if warm else 0):
-        model = baum_welch_pass(encoded, model, prior)
+    return ids, values
+
+
+def _placed(summed: tuple[np.ndarray, np.ndarray], size: int, rest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays of ``size`` emission rows and ``rest`` other rows, zero where nothing was summed."""
+    ids, values = summed
+    out = np.zeros((size + rest, values.shape[1]))
+    out[np.where(ids >= 0, ids, size - 1 - ids)] = values
+    return out[:size], out[size:]
+
+
+def seeded(encoded: DataFrame, voc: Vocabulary, states: int) -> Hmm:
+    """The first model.  Of the ``SEEDS`` most frequent head words, counted by the documents they stand in alone and in
+    pairs, the first seed is the one in most documents, each next one that with the least share of documents in
+    common with any seed before it.  A document belongs to the seed of the greatest count relative to the seed's own in
+    all documents, the first of equals; emissions are counted by these."""
+    prior, size = voc.prior(), voc.symbols
+    head = np.flatnonzero(voc.hashes != np.uint64(END))
+    some = head[np.lexsort((voc.hashes[head], -voc.n[head]))][:SEEDS]
+    if not len(some):
+        return from_counts(np.ones(states), np.eye(states), np.zeros((size, states)), prior)
+    place = np.full(size, -1)
+    place[some] = np.arange(len(some))
+    m = len(some)
+
+    def together(seqs: list[np.ndarray], found: dict) -> None:
+        x = np.zeros((len(seqs), m), np.float32)
+        for row, s in zip(x, seqs, strict=True):
+            p = place[s]
+            row[p[p >= 0]] = 1
+        found["rest"] = found.get("rest", 0) + (x.T @ x).astype(float)
+
+    both = _placed(_summed(encoded, m, together), 0, m)[1]
+    alone = np.maximum(both.diagonal(), 1.0)
+    share = both / np.minimum(alone[:, None], alone[None])
+    # Words of few documents would always be the farthest: a seed stands in a 2 * states-th of them at least, if that many do.
+    able = np.flatnonzero(both.diagonal() >= both.diagonal().max() / (2 * states))
+    seeds = [int(able[both.diagonal()[able].argmax()])]
+    while len(seeds) < min(states, len(able)):
+        near = share[np.ix_(able, seeds)].max(axis=1)
+        near[np.isin(able, seeds)] = 2
+        seeds.append(int(able[near.argmin()]))
+    chosen, often = some[seeds], voc.n[some[seeds]].astype(float)
+
+    def by_seed(seqs: list[np.ndarray], found: dict) -> None:
+        emit = found.setdefault("emit", np.zeros((size, states)))
+        lengths = np.array([len(s) for s in seqs])
+        flat = np.concatenate(seqs)
+        owner = np.repeat(np.arange(len(seqs)), lengths)
+        over = np.array([np.bincount(owner, flat == c, len(seqs)) for c in chosen]) / often[:, None]
+        state = over.argmax(axis=0)[owner]
+        key, n = np.unique(flat.astype(np.int64) * states + state, return_counts=True)
+        emit.reshape(-1)[key] += n
+
+    emit = _placed(_summed(encoded, states, by_seed), size, 0)[0]
+    return from_counts(emit.sum(axis=0), np.eye(states) * 11, emit, prior)  # each lasts for some 20 / states tokens
+
+
+def baum_welch_pass(encoded: DataFrame, model: Hmm, prior: np.ndarray) -> tuple[Hmm, float]:
+    """(the model after one pass over ``encoded`` (syms), log10 likelihood of the one before): counts of each partition,
+    summed by symbol across partitions."""
+    k, size = len(model.start), len(prior)
+
+    def count(seqs: list[np.ndarray], found: dict) -> None:
+        s, m, log = expected_counts(model, seqs, found.setdefault("emit", np.zeros((size, k))))
+        found["rest"] = found.get("rest", 0) + np.concatenate([m, s[None], np.full((1, k), log)])
+
+    emit, rest = _placed(_summed(encoded, k, count), size, k + 2)
+    return from_counts(rest[k], rest[:k], emit, prior), float(rest[k + 1, 0])
+
+
+def train(encoded: DataFrame, voc: Vocabulary, states: int = STATES, passes: int = PASSES, tolerance: float = TOLERANCE) -> Hmm:
+    """Seeds, then Baum-Welch passes over all rows of ``encoded`` (syms)."""
+    prior, last = voc.prior(), None
+    model = seeded(encoded, voc, states)
+    for _ in range(passes):
+        model, log = baum_welch_pass(encoded, model, prior)
+        if last is not None and log - last <= tolerance * abs(last):
+            break
+        last = log
     return model
 
 
-def score_documents(documents: DataFrame, **options) -> DataFrame:
-    """Per row of ``documents`` (doc_id, text, held_out): doc_id, held_out, n_tokens, n_known, train_tokens,
-    base_score, score; the model is learned from the rows that aren't held out.
+@dataclass
+class Fitted:
+    words: DataFrame
+    vocabulary: Vocabulary
+    encoded: DataFrame
+    model: Hmm
 
-    Null text is empty, which is one end token; rows repeated count as often as they are there; without training
-    rows all tokens are unknown.  Doc_ids needn't be unique.  Other columns are ignored.
-    """
+
+def fit(documents: DataFrame, head: int = HEAD, **options) -> Fitted:
+    """Counts, vocabulary and model from the rows of ``documents`` (doc_id, text, held_out) that aren't held out; all rows
+    are encoded."""
     rows = documents.select("doc_id", "held_out", "text")
     words = save(count_words(rows.where("not held_out")), "words")
-    voc = vocabulary(words)
+    voc = vocabulary(words, head)
     encoded = save(encode(rows, voc, ["doc_id", "held_out"]), "encoded")
-    model = train(encoded.where("not held_out"), voc, **options)
+    return Fitted(words, voc, encoded, train(encoded.where("not held_out"), voc, **options))
+
 
+def score(fitted: Fitted) -> DataFrame:
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    words, voc, encoded, model = fitted.words, fitted.vocabulary, fitted.encoded, fitted.model
     tail = encoded.select("row", F.explode(F.arrays_zip("tails", "tail_counts")).alias("t")).select("row", F.col("t.tails").alias("hash"), F.col("t.tail_counts").alias("k"))
     known = tail.join(words.select("hash", "n"), "hash").groupBy("row").agg(F.sum("k").alias("tail_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("tail_log"))
 
@@ -342,5 +417,17 @@ def score_documents(documents: DataFrame, **options) -> DataFrame:
     return done.select("doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).cast("long").alias("n_known"), F.lit(voc.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("forward") + tail_log).alias("score"))
 
 
+def score_documents(documents: DataFrame, **options) -> DataFrame:
+    """Per row of ``documents`` (doc_id, text, held_out): doc_id, held_out, n_tokens, n_known, train_tokens,
+    base_score, score; the model is learned from the rows that aren't held out.
+
+    Null text is empty, which is one end token; very long texts are counted and scored whole; rows repeated count as
+    often as they are there; words of equal counts are in the head or the tail together; without training rows all
+    tokens are unknown; an empty table gives no rows.  Doc_ids may be null and needn't be unique.  Other columns,
+    whatever their names, are ignored.
+    """
+    return score(fit(documents, **options))
+
+
 def op4_hmm(spark, sf_dir: str) -> DataFrame:
     return score_documents(split_by_crc(spark.read.parquet(f"{sf_dir}/documents.parquet"), 7, 2))

@@ -127,18 +127,22 @@ def test_words_are_split_and_folded():
 def test_forward_is_exact():
     rng = np.random.default_rng(3)
     model = hmm.Hmm(rng.dirichlet([1] * 3), rng.dirichlet([1] * 3, 3), rng.dirichlet([1] * 5, 3).T)
-    seqs = [np.array(s, np.uint16) for s in ([0], [4, 1], [2, 2, 3, 0], [1, 0, 4])]
+    seqs = [np.array(s, np.int32) for s in ([0], [4, 1], [2, 2, 3, 0], [1, 0, 4])]
     for s, got in zip(seqs, hmm.log_likelihood(model, seqs), strict=True):
         total = sum(math.prod([model.start[p[0]], *(model.move[a, b] for a, b in itertools.pairwise(p)), *(model.emit[x, k] for x, k in zip(s, p, strict=True))]) for p in itertools.product(range(3), repeat=len(s)))
         assert math.isclose(got, math.log10(total), rel_tol=1e-9)
 
 
-def test_expected_counts_are_posteriors():
+@pytest.mark.parametrize("block", [150_000, 3, 1])
+def test_expected_counts_are_posteriors(monkeypatch, block):
+    """In blocks too, as long texts are gone through."""
     rng = np.random.default_rng(4)
     model = hmm.Hmm(rng.dirichlet([1] * 2), rng.dirichlet([1] * 2, 2), rng.dirichlet([1] * 3, 2).T)
-    seqs = [np.array(s, np.uint16) for s in ([0, 1, 2, 1], [2, 0])]
+    monkeypatch.setattr(hmm, "BLOCK_TOKENS", block)
+    seqs = [np.array(s, np.int32) for s in ([0, 1, 2, 1], [2, 0], [1, 1, 0])]
     emit = np.zeros((3, 2))
-    start, move = hmm.expected_counts(model, seqs, emit)
+    start, move, log = hmm.expected_counts(model, seqs, emit)
+    assert math.isclose(log, hmm.log_likelihood(model, seqs).sum())
     want_s, want_m, want_e = np.zeros(2), np.zeros((2, 2)), np.zeros((3, 2))
     for s in seqs:
         paths = {p: math.prod([model.start[p[0]], *(model.move[a, b] for a, b in itertools.pairwise(p)), *(model.emit[x, k] for x, k in zip(s, p, strict=True))]) for p in itertools.product(range(2), repeat=len(s))}
@@ -155,7 +159,8 @@ def test_expected_counts_are_posteriors():
 def test_scores_against_brute_counts(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").limit(80)
     d = d.unionByName(spark.createDataFrame([(10**6, None, None, None, None)], d.schema))
-    rows = hmm.score_documents(langid.split_by_crc(d, 7, 2), warm_passes=3, warm_tokens=5000, passes=1).collect()
+    d = d.withColumn("syms", F.lit(1)).withColumn("row", F.lit(2))  # clashing names
+    rows = hmm.score_documents(langid.split_by_crc(d, 7, 2), passes=1).collect()
     texts = {r.doc_id: r.text or "" for r in d.collect()}
     tokens = lambda t: [x for x in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if x] + ["\n"]
     count: dict = {}
@@ -173,6 +178,60 @@ def test_scores_against_brute_counts(spark):
         assert r.score < 0
 
 
+def brute_score(text, count, fitted):
+    """log10 probability of a text's words and end by summing over states word by word, from dictionaries."""
+    voc, model = fitted.vocabulary, fitted.model
+    at = {int(h): i for i, h in enumerate(voc.hashes)}
+    p = None
+    for w in [*text, None]:
+        if w is None:
+            symbol, share = at[hmm.END], 1.0
+        else:
+            data = np.frombuffer(w.encode(), np.uint8)
+            one = Words(data, np.array([0, len(data)]))
+            symbol, share = at.get(int(one.hash[0])), 1.0
+            if symbol is None:
+                c = int(hmm.tail_class(one)[0])
+                symbol, share = len(voc.hashes) + c, (count.get(w, 0) + 1) / voc.tail_mass[c]
+        e = model.emit[symbol].astype(float) * share
+        p = model.start * e if p is None else [sum(p[i] * model.move[i, j] for i in range(len(e))) * e[j] for j in range(len(e))]
+    return math.log10(sum(p))
+
+
+def test_score_is_the_probability_of_the_text(spark):
+    rng = random.Random(5)
+    say = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    first, second = "the of and to in river stone".split(), "der die und zu in fluss stein".split()
+    texts = [say(rng.choice([first, second]), rng.randrange(1, 25)) + f" rare{k}ly" for k in range(60)] + ["", None, "never seen WORDS The"]
+    d = spark.createDataFrame([(k, t, k % 7 == 2) for k, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    fitted = hmm.fit(d, head=9, states=3, passes=2)
+    voc, model = fitted.vocabulary, fitted.model
+    assert len(voc.hashes) <= 9 and np.allclose(model.emit.astype(float).sum(axis=0), 1, atol=1e-5) and np.allclose(model.move.sum(axis=1), 1)
+    count: dict = {}
+    words = lambda t: (t or "").lower().split()
+    for k, t in enumerate(texts):
+        for w in words(t) if k % 7 != 2 else ():
+            count[w] = count.get(w, 0) + 1
+    for r in hmm.score(fitted).collect():
+        assert math.isclose(r.score, brute_score(words(texts[r.doc_id]), count, fitted), rel_tol=1e-5)
+    # A state's probabilities of all known words, of the end and of each class's share for unknown ones make one.
+    own = sum((count[w] + 1) / voc.tail_mass[int(hmm.tail_class(Words(x, np.array([0, len(x)])))[0])] * model.emit[len(voc.hashes) + int(hmm.tail_class(Words(x, np.array([0, len(x)])))[0])] for w in count if int(Words(x := np.frombuffer(w.encode(), np.uint8), np.array([0, len(x)])).hash[0]) not in {int(h) for h in voc.hashes})
+    unknown = (model.emit[len(voc.hashes) :].astype(float) / voc.tail_mass[:, None]).sum(axis=0)
+    assert np.allclose(own + unknown + model.emit[: len(voc.hashes)].astype(float).sum(axis=0), 1, atol=1e-5)
+
+
+def test_training_gains_and_edges(spark, docs):
+    d = langid.split_by_crc(spark.read.parquet(f"{SF}/documents.parquet"), 7, 2)
+    fitted = hmm.fit(d, passes=0)
+    train = fitted.encoded.where("not held_out")
+    model, first = hmm.baum_welch_pass(train, fitted.model, fitted.vocabulary.prior())
+    second = hmm.baum_welch_pass(train, model, fitted.vocabulary.prior())[1]
+    assert second > first
+    assert hmm.score_documents(langid.split_by_crc(docs.limit(0), 7, 2)).collect() == []
+    alone = hmm.score_documents(docs.withColumn("held_out", F.lit(True))).collect()
+    assert len(alone) == 7 and {r.n_known for r in alone} == {0} and all(np.isfinite(r.score) for r in alone)
+
+
 # ------------------------------------------------------------------ 6 near duplicates
 def brute_groups(rows, width, percent):
     sets = {}
