@@ -1,24 +1,31 @@
 """Main text of web pages: site templates are found by counting, then removed.
 
-Every element's subtree has a hash of its tags, classes and text.  For each host, Spark counts the pages in which
-a subtree stands; subtrees in many pages of a host are its template and go.  Besides, elements whose tag, role,
-class or id says that they are no article (menus, footers, adverts, comments and the like) go, and where a page has
-an article or main element, only that is kept.
+Every element's subtree has two hashes: of what it says (tags, classes and text below it) and of where it stands (tags and
+classes from the root down to it).  For each host, Spark counts the pages in which each occurs, and the text and the link
+text in each place.  Template, and removed, are
+
+* subtrees that say the same in many pages of a host, and
+* containers in a place that many pages of a host have and that over the host holds mostly links: menus and link
+  lists, whose links may differ from page to page.
+
+What counting can't tell (an advert of another text in every page, a host of few pages) is left to what elements say of
+themselves: tag, role, and classes or ids made of nothing but words such as ad, comments or sidebar.  Where a page has an
+article or main element, only that is kept.
 
 Pages of a host with equal main text count as one: copies of a page don't make its article template.  An element that
 holds an article, or most of the page's main text, is never taken for template as a whole; what is in it may be.
 Blocks of prose inside an article (paragraphs, headings, list items and so on) are never taken for template:
-quoted passages and pages copied with edits also recur on a host.
+quoted passages and pages copied with edits also recur on a host; nor is a place inside an article.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +33,7 @@ from .common import fresh, save, with_fields
 from .urlfilter import host_of
 
 MIN_PAGES, RATIO = 5, 0.3
+LINKS = 0.6  # share of link text in a place that makes it one of links
 BROADCAST_HASHES = 500_000  # 8 bytes each
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,26 +41,31 @@ RAW = frozenset("script style textarea title xmp noembed noframes iframe".split(
 SKIP = frozenset("script style noscript template iframe object svg math canvas nav menu aside footer form button input select option textarea dialog head title noembed noframes audio video map".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption b i em strong a span code q".split())
+CONTAINERS = BLOCK - PROSE
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot caption option optgroup html body legend summary".split()) | {"table"}
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select", "datalist"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"})}
 NO_ARTICLE = frozenset(
-    "ad ads adv advert advertisement advertising adbox adslot banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs "
-    "sidebar aside rail widget widgets footer foot masthead cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login "
-    "comment comments disqus reply replies respond discussion share sharing social related recommended pagination pager toolbar skip".split()
+    "ad ads advert adverts advertisement advertisements advertising adbox adslot banner sponsored promo nav navbar navigation menu menubar breadcrumb breadcrumbs "
+    "sidebar widget widgets footer masthead cookie cookies consent gdpr notice popup newsletter subscribe signup login "
+    "comment comments disqus sharing pagination pager toolbar".split()
 )
+FORMS = frozenset("area bar block bottom box button buttons container content form group header inner item items label left link links list main message outer page panel right row section site slot thread title top unit wrap wrapper".split())
+ALWAYS = frozenset("script style noscript template iframe object svg math canvas form button input select option textarea dialog head title noembed noframes audio video map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alertdialog alert".split())
 
 _TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", regex.S)
 _ATTR = regex.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", regex.S)
 _WHITE = regex.compile(r"\s+")
-_WORD = regex.compile(r"[A-Za-z]+")
+_WORD = regex.compile(r"[a-z]+")
+_DIGITS = regex.compile(r"\d+")
+_M64 = (1 << 64) - 1
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "hash")
+    __slots__ = ("tag", "attrs", "kids", "hash", "place")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.kids, self.hash = tag, attrs, [], None
+        self.tag, self.attrs, self.kids, self.hash, self.place = tag, attrs, [], None, None
 
 
 def parse(html: str) -> Node:
@@ -125,8 +138,18 @@ def _names(node: Node) -> list[str]:
     return f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower().split()
 
 
-def boilerplate(node: Node, in_article: bool) -> bool:
-    """Whether an element says of itself that it is none of the article."""
+def says_no_article(name: str) -> bool:
+    """Whether a class or id is made of such words alone: ``ad-slot-2`` and ``cookie_notice``, not ``ad-hoc-analysis``."""
+    words = _WORD.findall(name)
+    return any(w in NO_ARTICLE for w in words) and all(w in NO_ARTICLE or w in FORMS for w in words)
+
+
+def boilerplate(node: Node, in_article: bool, names: bool = True) -> bool:
+    """Whether an element says of itself that it is none of the article.  Without ``names`` only what is never text."""
+    if node.tag in ALWAYS:
+        return True
+    if not names:
+        return False
     if node.tag in SKIP or (node.tag == "header" and not in_article):
         return True
     a = node.attrs
@@ -134,31 +157,43 @@ def boilerplate(node: Node, in_article: bool) -> bool:
         return False
     if a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or regex.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), regex.I):
         return True
-    for name in _names(node):
-        words = _WORD.findall(name)
-        if words and (words[0] in NO_ARTICLE or words[-1] in NO_ARTICLE):
-            return True
-    return False
+    return any(says_no_article(name) for name in _names(node))
+
 
+def _hash(x: str, seed: int = 0) -> int:
+    """64 bits, signed."""
+    return int.from_bytes(xxhash.xxh64_digest(x.encode("utf-8", "surrogatepass"), seed), "big", signed=True)
 
-def subtree_hashes(root: Node) -> dict[int, bool]:
-    """Set each element's hash (64 bits, signed) and return those of elements with text; script and the like none."""
-    found: dict[int, bool] = {}
 
-    for node in reversed(_order(root)):  # children first
-        parts, text = [node.tag, " ".join(sorted(_names(node)))], False
+def subtree_hashes(root: Node) -> dict[int, tuple[int, int]]:
+    """Set each element's hash and place and return (characters of text, of link text) of each: -1, 0 for what is said,
+    summed over the page for a container's place.  Elements without text, scripts and the like have neither."""
+    found: dict[int, tuple[int, int]] = {}
+    sizes: dict[Node, tuple[int, int]] = {}
+    order = _order(root)
+    root.place = 1
+    for node in order:  # parents first
+        for k in node.kids:
+            if isinstance(k, Node):
+                k.place = _hash(" ".join([k.tag, *sorted(_DIGITS.sub("", n) for n in _names(k))]), node.place & _M64)
+    for node in reversed(order):  # children first
+        parts, size, links = [node.tag, " ".join(sorted(_names(node)))], 0, 0
         for k in node.kids:
             if isinstance(k, Node):
                 if k.hash is not None:
                     parts.append(str(k.hash))
-                    text = True
+                    size, links = size + sizes[k][0], links + sizes[k][1]
             elif s := _WHITE.sub(" ", k).strip():
                 parts.append(s)
-                text = True
-        if text and node.tag not in ("script", "style"):
-            node.hash = int.from_bytes(hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+                size += len(s)
+        sizes[node] = (size, size if node.tag == "a" else links)
+        if size and node.tag not in ("script", "style"):
+            node.hash = _hash("\x00".join(parts))
             if node is not root:
-                found[node.hash] = True
+                found[node.hash] = (-1, 0)
+                if node.tag in CONTAINERS:
+                    had = found.get(node.place, (0, 0))
+                    found[node.place] = (had[0] + sizes[node][0], had[1] + sizes[node][1])
     return found
 
 
@@ -215,8 +250,9 @@ def whole(root: Node) -> set[Node]:
     return {node for node, (size, top) in held.items() if top or size > most}
 
 
-def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """Blocks of the main text, one a line: of all outermost articles, else of main, else of the whole page."""
+def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset(), names: bool = True) -> str:
+    """Blocks of the main text, one a line: of all outermost articles, else of main, else of the whole page; without
+    ``names`` of the whole page but for ``template``."""
     root = parse(html or "")
     kept: set[Node] = set()
     if template:
@@ -224,9 +260,15 @@ def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset(
         kept = whole(root)
 
     def gone(node: Node, in_article: bool) -> bool:
-        return boilerplate(node, in_article) or (bool(template) and node.hash in template and not (in_article and node.tag in PROSE) and node not in kept)
+        if boilerplate(node, in_article, names):
+            return True
+        if not template or node in kept:
+            return False
+        if in_article:
+            return node.hash in template and node.tag not in PROSE
+        return node.hash in template or (node.place in template and node.tag in CONTAINERS)
 
-    tops = _tops(root, gone)
+    tops = _tops(root, gone) if names else []
     inside = bool(tops)
     blocks: list[str] = []
     held: list[str] = []
@@ -262,37 +304,42 @@ def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset(
 
 
 # --------------------------------------------------------------------------- Spark
-def page_profile(html: str) -> tuple[int, list[int]]:
-    """Hash of the main text; the subtrees' hashes, sorted."""
+def page_profile(html: str) -> tuple[int, list[dict]]:
+    """Hash of the main text; the hashes of the subtrees and places, sorted, with their sizes."""
     root = parse(html)
-    text = "\x00".join(own_text(root).values())
-    key = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
-    return int.from_bytes(key, "little", signed=True), sorted(subtree_hashes(root))
+    key = _hash("\x00".join(own_text(root).values()))
+    return key, [{"h": h, "size": n, "links": m} for h, (n, m) in sorted(subtree_hashes(root).items())]
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, ratio: float = RATIO) -> DataFrame:
-    """(host, hashes array<long>): subtrees that stand in at least ``min_pages`` pages of the host and in ``ratio`` of
-    them.  A page counts a subtree once; null url is host ''; pages of a host with equal main text are one page,
-    with the subtrees of one of them.  A host has at most (subtrees a page / ratio) such."""
+    """(host, hashes array<long>) of pages (url, html): subtrees, and places of mostly link text, that stand in at least
+    ``min_pages`` pages of the host and in ``ratio`` of them.  A page counts each once; null url is host ''; pages of a
+    host with equal main text are one page, with the subtrees of one of them.  A host has at most (subtrees and places
+    a page / ratio) such."""
+    kind = "array<struct<h: long, size: int, links: int>>"
+    arrow = pa.list_(pa.struct([("h", pa.int64()), ("size", pa.int32()), ("links", pa.int32())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [page_profile(h.as_py() or "") for h in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], ["host", "page", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], arrow)], ["host", "page", "parts"])
 
     hosts = pages.select(host_of(F.col("url")).alias("host"), "html")
-    every = hosts.mapInArrow(run, "host string, page long, hashes array<long>")
-    folded = save(every.groupBy("host", "page").agg(F.min("hashes").alias("hashes")), "profiles")
-    seen = folded.select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
+    every = hosts.mapInArrow(run, f"host string, page long, parts {kind}")
+    folded = save(every.groupBy("host", "page").agg(F.min("parts").alias("parts")), "profiles")
+    seen = folded.select("host", F.explode("parts").alias("x")).select("host", "x.*").groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.sum("links").alias("links"))
     total = folded.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
-    often = seen.where(F.col("n") >= min_pages).join(total, "host").where(F.col("n") >= ratio * F.col("total"))
+    often = seen.where((F.col("n") >= min_pages) & ((F.col("size") < 0) | (F.col("links") >= LINKS * F.col("size"))))
+    often = often.join(total, "host").where(F.col("n") >= ratio * F.col("total"))
     return often.groupBy("host").agg(F.collect_set("h").alias("hashes"))
 
 
-def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, ratio: float = RATIO) -> DataFrame:
+def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, ratio: float = RATIO, names: bool = True) -> DataFrame:
     """``pages`` (url, html) with ``text``: the article's blocks joined by line feeds; '' for null or empty html.
 
-    Pages of equal main text count as one, repeated rows too.  A column named text is replaced.
+    Null urls are of one host, ''.  Pages of equal main text count as one, repeated rows too, and each row is returned.
+    Whole pages are parsed, of any length and depth; an empty table gives no rows; a column named text is replaced, all
+    others pass through.  Without ``names`` templates alone are removed, by counting.
     """
     pages = pages.drop("text")
     made = save(site_templates(pages, min_pages, ratio), "templates")
@@ -311,7 +358,7 @@ def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, ratio: float = RA
             texts, sets = [], {}
             for h, t in zip(batch.column(at("html")), batch.column(at(hashes)), strict=True):
                 t = frozenset(t.as_py() or ())
-                texts.append(main_text(h.as_py(), sets.setdefault(t, t)))
+                texts.append(main_text(h.as_py(), sets.setdefault(t, t), names))
             yield pa.RecordBatch.from_arrays([*(batch.column(at(c)) for c in keep), pa.array(texts, pa.string())], [*keep, "text"])
 
     return joined.mapInArrow(run, schema)

@@ -474,6 +474,62 @@ def test_main_text():
     assert htmlextract.main_text("<p>" + "word " * 100_000).count("word") == 100_000
 
 
+@pytest.mark.parametrize("name", ['section id="discussion"', 'div class="ad-hoc-analysis"', 'p class="share-price"', 'div class="related-work"', 'p class="notice-period"'])
+def test_names_of_article_parts_stay(name):
+    tag = name.split()[0]
+    assert htmlextract.main_text(f"<article><p>A</p><{name}>B</{tag}><p>C</article>") == "A\nB\nC"
+
+
+def site(rng, host, n, article):
+    """Pages of a site whose menu, teasers and footer differ from page to page; (url, html, text of the story)."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9)))
+    say = lambda k: " ".join(word() for _ in range(k))
+    out = []
+    for k in range(n):
+        menu = "".join(f'<li><a href="/{word()}">{say(2)}</a></li>' for _ in range(rng.randrange(3, 9)))
+        teasers = "".join(f'<div class="t{j}"><a href="/{word()}">{say(6)}</a> {word()}</div>' for j in range(rng.randrange(2, 5)))
+        story = [say(4), *(say(rng.randrange(10, 60)) for _ in range(rng.randrange(1, 4)))]
+        body = f"<h1>{story[0]}</h1>" + "".join(f'<p>{p[:9]}<a href="/x">{p[9:14]}</a>{p[14:]}</p>' for p in story[1:])
+        body = f"<article>{body}</article>" if article else f'<div class="main{k}">{body}</div>'
+        html = f'<body><div class="top"><ul>{menu}</ul></div><div>Our site since 1990</div>{body}<div class="more">{teasers}</div><div class="end"><b>All rights</b> kept</div></body>'
+        out.append((f"http://{host}/{k}", html, "\n".join(story)))
+    return out
+
+
+def test_counting_finds_what_differs_from_page_to_page(spark):
+    """The ablation: without templates menus, teasers and the footer stay; with them the story alone is left."""
+    rng = random.Random(9)
+    rows = [(k, *r) for k, r in enumerate(site(rng, "a.org", 12, False) + site(rng, "b.org", 12, True) + site(rng, "few.org", 3, False))]
+    p = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    want = {r[0]: r[3] for r in rows}
+    for names in (True, False):
+        got = {r.page_id: r.text for r in htmlextract.extract_text(p, names=names).collect()}
+        assert {k: got[k] for k in range(24)} == {k: want[k] for k in range(24)}
+    off = {r.page_id: r.text for r in htmlextract.extract_text(p, min_pages=1000).collect()}
+    assert all(off[k] != want[k] and want[k] in off[k] for k in range(12))
+    assert all(off[k] == want[k] for k in range(12, 24))  # the article element alone says it
+    assert all(want[k] in off[k] and off[k] == got[k] for k in range(24, 27))  # too few pages to count
+
+
+def test_templates_against_brute_force(spark):
+    rng = random.Random(10)
+    rows = site(rng, "a.org", 9, False) + site(rng, "b.org", 7, True)
+    rows += [rows[0]] * 9  # copies count once
+    got = {r.host: set(r.hashes) for r in htmlextract.site_templates(spark.createDataFrame([r[:2] for r in rows], "url string, html string")).collect()}
+    for host in ("a.org", "b.org"):
+        pages_ = {}
+        for url, html, _ in rows:
+            if host in url:
+                key, parts = htmlextract.page_profile(html)
+                pages_[key] = parts
+        seen: dict = {}
+        for parts in pages_.values():
+            for x in parts:
+                seen.setdefault(x["h"], []).append((x["size"], x["links"]))
+        often = {h for h, v in seen.items() if len(v) >= 5 and len(v) >= 0.3 * len(pages_) and (v[0][0] < 0 or sum(m for _, m in v) >= 0.6 * sum(n for n, _ in v))}
+        assert often and got[host] == often
+
+
 def test_templates_go(spark):
     page = lambda k: f"<body><div class=top><b>Our site</b> since 1990</div><div><p>Story {k} is told.</p></div><div><p>Rights of all</p></div></body>"
     rows = [(k, f"http://h.org/{k}", page(k)) for k in range(8)] + [(90, "http://i.org/", page(90)), (91, None, None), (92, None, "")]
