@@ -55,7 +55,6 @@ ROLES = frozenset("navigation banner contentinfo complementary search form menu
 
 _TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", regex.S)
 _ATTR = regex.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", regex.S)
-_WHITE = regex.compile(r"\s+")
 _WORD = regex.compile(r"[a-z]+")
 _DIGITS = regex.compile(r"\d+")
 _M64 = (1 << 64) - 1
@@ -134,7 +133,14 @@ def parse(html: str) -> Node:
     return root
 
 
+def squeezed(text: str) -> str:
+    """Trimmed, with runs of white space as one space."""
+    return " ".join(text.split())
+
+
 def _names(node: Node) -> list[str]:
+    if not node.attrs:
+        return []
     return f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower().split()
 
 
@@ -175,7 +181,8 @@ def subtree_hashes(root: Node) -> dict[int, tuple[int, int]]:
     for node in order:  # parents first
         for k in node.kids:
             if isinstance(k, Node):
-                k.place = _hash(" ".join([k.tag, *sorted(_DIGITS.sub("", n) for n in _names(k))]), node.place & _M64)
+                names = sorted(n if n.isalpha() else _DIGITS.sub("", n) for n in _names(k)) if k.attrs else ()
+                k.place = _hash(" ".join([k.tag, *names]), node.place & _M64)
     for node in reversed(order):  # children first
         parts, size, links = [node.tag, " ".join(sorted(_names(node)))], 0, 0
         for k in node.kids:
@@ -183,7 +190,7 @@ def subtree_hashes(root: Node) -> dict[int, tuple[int, int]]:
                 if k.hash is not None:
                     parts.append(str(k.hash))
                     size, links = size + sizes[k][0], links + sizes[k][1]
-            elif s := _WHITE.sub(" ", k).strip():
+            elif s := squeezed(k):
                 parts.append(s)
                 size += len(s)
         sizes[node] = (size, size if node.tag == "a" else links)
@@ -231,7 +238,7 @@ def own_text(root: Node) -> dict[Node, str]:
         todo = [top]
         while todo:
             node = todo.pop()
-            text = _WHITE.sub(" ", unescape(" ".join(k for k in node.kids if isinstance(k, str)))).strip()
+            text = squeezed(unescape(" ".join([k for k in node.kids if isinstance(k, str)])))
             if text:
                 found[node] = text
             todo += reversed([k for k in node.kids if isinstance(k, Node) and not boilerplate(k, bool(tops))])
@@ -275,7 +282,7 @@ def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset(
 
     def flush():
         if held:
-            if s := _WHITE.sub(" ", unescape("".join(held))).strip():
+            if s := squeezed(unescape("".join(held))):
                 blocks.append(s)
             held.clear()
 
