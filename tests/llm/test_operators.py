@@ -96,6 +96,20 @@ def test_decontamination_against_brute_force(spark, block):
     assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got) == sorted(brute_hits(docs, items, 4))
 
 
+def test_decontamination_of_shared_windows_and_large_words(spark, monkeypatch):
+    """A window of many items, words of many bytes in small blocks, and columns to carry with the operator's own names."""
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 100)
+    big = "z" * 500
+    items = [(k, f"a b c d own{k} x y {big if k == 3 else 'q'}") for k in range(40)]
+    docs = [(1, "so A b, c d it is", "p"), (2, f"x y {big} and own3 x y {big}", "q"), (None, "a b c d", "r"), (4, "a b c", "s")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, w string").selectExpr("*", "w as i", "w as h", "w as windows", "w as row", "w as key", "w as rows")
+    carry = ("w", "i", "h", "windows", "row", "key", "rows")
+    got = decontam.contamination(d, spark.createDataFrame(items, "item_id long, text string"), width=4, carry=carry).collect()
+    want = {(r[0], *r[1:3], tuple(r[3])) for r in brute_hits([x[:2] for x in docs], items, 4)}
+    assert {(r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got} == want
+    assert {r.doc_id: r.w for r in got} == {x[0]: x[2] for x in docs} and all({r[c] for c in carry} == {r.w} for r in got)
+
+
 def test_decontamination_edges(spark, docs):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert [r.n_hit for r in decontam.contamination(docs, empty).collect()] == [0] * 7
