@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh, save
 
-RATIO = 0.1
-MIN_PAGES = 5
+RATIO = 0.02
+MIN_PAGES = 10
 COPY = 0.9  # of a page's word pairs: two pages that share so much are near duplicates (0.9 / 1.1 > 0.8)
 BROADCAST_LINES = 500_000  # 8 bytes each
 
@@ -124,7 +124,7 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(source, ''
      l AS (SELECT DISTINCT r, host, trim(x, ' ') AS line FROM (SELECT r, host, unnest(ls) AS x FROM d)),
      n AS (SELECT host, line, count(*) AS n FROM l WHERE line <> '' GROUP BY host, line),
      t AS (SELECT host, count(*) AS total FROM d GROUP BY host),
-     b AS (SELECT n.host, list(n.line) AS bad FROM n JOIN t ON n.host = t.host WHERE n.n >= 5 AND n.n > 0.1 * t.total GROUP BY n.host),
+     b AS (SELECT n.host, list(n.line) AS bad FROM n JOIN t ON n.host = t.host WHERE n.n >= 10 AND n.n > 0.02 * t.total GROUP BY n.host),
      o AS (SELECT d.*, list_filter(ls, lambda x: trim(x, ' ') = '' OR NOT list_contains(coalesce(bad, []), trim(x, ' '))) AS kept FROM d LEFT JOIN b ON d.host = b.host)
 SELECT doc_id, source, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(ls) - len(kept), 0)::BIGINT AS n_dropped,
        CASE WHEN text IS NULL THEN NULL ELSE coalesce(array_to_string(kept, chr(10)), '') END AS text
