@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, Words, mix, save, text_blocks, with_fields
 from .langid import split_by_crc
 
-HEAD, TAILS = 1 << 18, 4096
+HEAD, TAILS = 1 << 16, 4096
 LEAST = 4  # occurrences of a head word: rarer ones say more by their endings than by themselves
 STATES, PASSES, TOLERANCE = 8, 3, 1e-3
 SEEDS = 64  # frequent words among which the states' seeds are looked for

@@ -1,7 +1,7 @@
 """Order MinHash fingerprints, in DataFrame functions only.
 
 A text's k-mers are runs of ``K`` tokens, each numbered by its occurrence.  Tokens are runs other than white space, cut
-every 16 characters; ideographs and kana stand alone.  Each of ``DRAWS`` draws has a random order of its own over all
+every 16 characters; ideographs, kana and their marks stand alone.  Each of ``DRAWS`` draws has a random order of its own over all
 numbered k-mers; it keeps the ``KEEP`` smallest, puts them back in text order and hashes the tuple of them.  Two texts
 agree in a draw if they keep the same k-mers in the same order, so moving text changes the fingerprint although no
 k-mer set changes.
@@ -26,11 +26,12 @@ from .common import fresh
 
 K, DRAWS_LOG2, KEEP = 3, 6, 2
 DRAWS = 1 << DRAWS_LOG2
-DEALT = 12
+DEALT = 8
 ROUND_BITS = 10  # enough for a text of one token: DRAWS * DEALT rounds
 ROUND_AT = 64 - DRAWS_LOG2 - ROUND_BITS
 AT = 24
-TOKENS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}]{1,16}"
+CJK = r"\u2E80-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}"  # ideographs, kana and their marks
+TOKENS = rf"[^\s{CJK}]{{1,16}}|[{CJK}]"
 GROUP_ROWS = 2000
 MOST_GROUPS = 65_536
 
