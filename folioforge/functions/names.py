@@ -13,64 +13,83 @@ from .text import name_swap, nz
 
 # Particles that belong to the surname after them.
 PARTICLES = ("de", "del", "la", "las", "los", "san", "santa")
-ROLES = r"(?:director(?:a|es)?|asesor(?:a|es)?|tutor(?:a|es)?|autor(?:a|es)?|coautor(?:a|es)?|editor(?:a|es)?|compilador(?:a|es)?|coordinador(?:a|es)?|revisor(?:a|es)?|sinodal(?:es)?|advisor|author|supervisor)"
-TITLES = r"(?:dr|dra|mtro|mtra|lic|ing|prof|profa|arq|biol|m\.?\s?c|m\.?\s?en\s?c|ph\.?\s?d|msc|phd|qfb|c\.?p)"
-INSTITUTION = r"\b(?:universidad|university|instituto|institute|facultad|faculty|centro|center|centre|departamento|department|escuela|school|colegio|laboratorio|secretar[ií]a|hospital|consejo|academia)\b"
-ID_CODE = r"^(?:[A-Z]{4}\d{6}[A-Z0-9]{0,8}|(?:orcid[:\s]*)?\d{4}-\d{4}-\d{4}-?\d{0,3}[\dX]?|cvu[:\s]*\d+)$"
+# Words that may stand small inside a listed person's name.
+SMALL_WORDS = ("de", "del", "la", "las", "los", "y", "e", "da", "das", "do", "dos", "di", "du", "le", "van", "von", "der")
+# Patterns of what is no name in a creator field.
+ID_CODE = r"[A-Z]{4}\d{6}[HM][A-Z]{4,5}\d{0,2}|\d{4}-\d{4}-\d{4}-\d{1,4}[\dXx]?|cvu\d+|[A-Z]{4}\d{6}[A-Z0-9]{3}"
+ROLE_MARKER = r"\b(?:co[-\s]*)?asesora?\s*tesis\b|\b(?:co[-\s]*)?asesora?\b:?|\bco[-\s]*ordinadora?\b:?|\bdirectora?\b:?|\b(?:dr|dra|mtro|mtra|lic|ing)\b\.?"
+GLUED_ID = rf"#[\s/:]*(?:{ID_CODE})?(?:=?\s*asesor\s*tesis)?"
+DIGIT_TOKEN = r"(?:\b(?:fl|ca)\.\s*)?(?:[#%*:=\-]+\s*|\b)[a-z]{0,4}\d[\da-z\-]*\.?"
+ET_AL = r"(?:\.\.\.|…)?\s*\[?\s*\b(?:y otros|et al\b\.?)\s*\]?"
+ROLE_SEGMENT = r"(?:^|,)[\s\-]*(?:sinodal|sustentante|autora?|compiladora?|comp\.|traductora?|tr\.|editora?|ed\.|ilustradora?|impresor|estudiante|revisor|presidente)\.?\s*(?=,|$)"
+ACADEMIC_TITLE = r"\bM(?:\.\s?|\s)en\s[a-z]{1,2}\b\.?|\bC\.P\.C\.(?:\s*y\s*E\.I\.)?|\bM\.?V\.?Z\b\.?|\bQ\.?F\.?B\b\.?|\bQ\.B\.P\.|\bI\.Q\.(?:I\.)?|\bL\.A\.E\.T\.|\bIBQ\b\.?|\bPh\.?\s?D\b\.?|\bBi[oó]l\b\.?|\bArq\b\.?|\bEsp\."
+INSTITUTION = (
+    r"\b(?:univer\p{L}{0,3}dad|universit(?:y|é|ät|à)|institut[oe]?|tecnol[oó]gico|polit[eé]cnico|facultad|faculty|escuela|school|departamento|department|secretar[ií]a|direcci[oó]n|divisi[oó]n|coordinaci[oó]n|programa|centro de|cent(?:er|re)|campus|consejo|comit[eé]|committee|laboratorio|laboratory|academia|editorial|imprenta|oficina|gobierno|government|ayuntamiento|biblioteca|library|museo|fundaci[oó]n|asociaci[oó]n|sociedad|society|maestr[ií]a|doctorado|licenciatura|compa[ñn][ií]a|itesm|unam|ipn|conah?cyt|scielo)\b"
+    r"|&\s*(?:co\b|cía|sons\b)|\bInc\b\.?|\bLtd\b\.?"
+)
+MOST_WORDS = 10
 
 
 def _sub(c: Column, pattern: str, to: str = " ") -> Column:
     return F.regexp_replace(c, pattern, to)
 
 
+def _any_case(pattern: str) -> str:
+    return "(?iU)" + pattern
+
+
 def repair_characters(c: Column) -> Column:
-    """Dashes to ``-``; invisible marks dropped; loose accents joined with their vowel; parentheses dropped with what they
-    hold, brackets unwrapped; other symbols blank; a replacement character is ``?`` and a lone one goes."""
-    x = _sub(nz(c), "[‐-―−]", "-")
-    x = _sub(x, "[​-‏⁠﻿­]", "")
-    for plain, accented in zip("aeiouAEIOU", "áéíóúÁÉÍÓÚ", strict=True):
-        x = _sub(x, f"[´`]\\s*{plain}", accented)
-    for plain, accented in zip("aeiouAEIOU", "áéíóúÁÉÍÓÚ", strict=True):
-        x = _sub(x, f"{plain}\\s*[´`]", accented)
-    x = _sub(_sub(x, "[˜~]\\s*n", "ñ"), "[˜~]\\s*N", "Ñ")
-    x = _sub(x, r"\([^)]*\)?")
-    x = _sub(x, r"[\[\]{}<>\"*%#@|/\\:;!=+^~´`¨]")
-    x = _sub(x, "�", "?")
-    return _sub(x, r"(?<=^|\s)\?+(?=\s|$)")
+    """Dashes to ``-``; invisible marks dropped; loose accents and tildes joined with the letter before, else after them,
+    or made an apostrophe; parentheses dropped with what they hold, brackets unwrapped; other symbols blank; a replacement
+    character is ``?``, and one that stands beside no letter goes."""
+    x = _sub(nz(c), "[‐‑‒–—]", "-")
+    x = _sub(x, "[\u200b-\u200f\u202a-\u202e\u00ad\ufeff]", "")
+    x = _sub(x, r"(?<=\p{L})([´`])\s+(?=\p{L})", "$1")
+    x = _sub(x, r"(?U)(?<=\b\p{L})[´`](?=\p{Lu})", "'")
+    pairs = [*zip("aeiouAEIOU", "áéíóúÁÉÍÓÚ", strict=True)]
+    for plain, accented in [*pairs, ("ı", "í")]:
+        x = _sub(x, f"{plain}[´`]", accented)
+    for plain, accented in pairs:
+        x = _sub(x, f"[´`]{plain}", accented)
+    for n, tilded in (("n", "ñ"), ("N", "Ñ")):
+        x = _sub(x, f"˜{n}|{n}˜", tilded)
+    x = _sub(_sub(_sub(x, "[´`]", "'"), r"\([^)]*\)?"), r"[\[\]()]", "")
+    x = _sub(_sub(x, '[:"“”«»©°*+¢±˜¿{}]'), "�", "?")
+    return _sub(x, r"(?<!\p{L})\?(?!\p{L})")
+
+
+def _edges(c: Column) -> Column:
+    return _sub(c, r"^[,\s-]+|[,\s-]+$", "")
 
 
 def clean_names(c: Column) -> Column:
     """Names in a creator field: split at ; | and line ends; identifiers, URLs, roles, titles, et-al marks, numbers and
-    institutions removed; both the form found and its "First Last" form, without repeats."""
+    institutions removed; both the form found and its "First Last" form, without repeats.  Null has none."""
     parts = F.filter(F.transform(F.split(nz(c), r"[;\n|]"), lambda x: F.trim(x)), lambda x: F.length(x) >= 3)
-    parts = F.filter(parts, lambda x: ~F.upper(x).rlike("(?i)" + ID_CODE) & ~x.rlike(r"(?i)^(?:https?:|www\.|info:eu-repo)"))
+    parts = F.filter(parts, lambda x: ~x.rlike(_any_case(rf"^(?:{ID_CODE})|^cvu\d+|^#?(?:{ID_CODE})$|^(?:https?://|info:eu-repo)")))
 
     def one(x: Column) -> Column:
-        x = _sub(x, r"(?i)\(?\s*(?:https?://|www\.)\S+")
-        x = _sub(x, r"\s?#\S+")
-        x = _sub(x, "_", " ")
-        x = _sub(x, rf"(?iU)(?<=^|[\s,(]){ROLES}\s*(?:de\s+tesis|acad[eé]mic[oa])?\s*:")
-        x = _sub(x, r"(?iU)(?<=^|[\s,])(?:et\.?\s*al\.?|y\s+otros|and\s+others)(?=$|[\s,.])")
-        x = _sub(x, rf"(?iU)(?<=^|[\s,]){TITLES}\.(?=\s|$|,)")
-        x = _sub(x, r"\S*\d\S*")
-        x = repair_characters(x)
-        x = _sub(x, rf"(?iU)(?<=^|,)\s*{ROLES}\s*(?=,|$)", "")
-        x = _sub(x, rf"(?iU)^\s*{ROLES}\s+(?=\S+\s+\S+)", "")
-        x = _sub(x, r"\s*,[\s,]*", ", ")
-        x = F.trim(_sub(x, r"\s+"))
-        return _sub(x, r"^[,\s-]+|[,\s-]+$", "")
-
-    people = F.flatten(F.transform(F.transform(parts, one), _people))
-    people = F.filter(people, lambda x: (F.length(x) >= 3) & x.rlike(r"\p{L}{2}") & ~x.rlike("(?iU)" + INSTITUTION) & (F.size(F.split(x, r"\s+")) <= 10))
+        x = _sub(x, _any_case(r"https?://\S+"))
+        x = _sub(_sub(x, _any_case(GLUED_ID)), "_")
+        for pattern in (ROLE_MARKER, ET_AL, ACADEMIC_TITLE, DIGIT_TOKEN):
+            x = _sub(x, _any_case(pattern))
+        x = _sub(repair_characters(x), _any_case(ROLE_SEGMENT), "")
+        return _edges(_sub(_sub(x, r"\s*,(\s*,)*", ","), r"\s+"))
+
+    people = F.transform(F.flatten(F.transform(F.transform(parts, one), _people)), lambda x: _edges(_sub(x, r"\s*,\s*", ", ")))
+    people = F.filter(people, lambda x: (F.length(x) >= 3) & x.rlike(r"\p{L}{2}") & ~x.rlike(_any_case(INSTITUTION)) & (F.size(F.split(x, r"\s+")) <= MOST_WORDS))
     return F.array_distinct(F.flatten(F.transform(people, lambda x: F.array(x, name_swap(x)))))
 
 
 def _people(x: Column) -> Column:
-    """Several people in one segment: at least three pieces, each of two to six capitalised words or particles."""
+    """Several people in one segment: at least three pieces, each of two to six words that are capitalised or small words,
+    beginning with a capital and not ending in a small word."""
     pieces = F.transform(F.split(x, ","), lambda p: F.trim(p))
-    word = rf"(?:\p{{Lu}}[\p{{L}}.'’-]*|{'|'.join(PARTICLES)}|y|e|von|van)"
-    several = (F.size(pieces) >= 3) & F.forall(pieces, lambda p: p.rlike(rf"^\p{{Lu}}[\p{{L}}.'’-]*(?:\s+{word}){{1,5}}$") & ~p.rlike(rf"\s(?:{'|'.join(PARTICLES)})$"))
-    return F.when(several, pieces).otherwise(F.array(x))
+    words = lambda p: F.filter(F.split(p, r"\s+"), lambda w: w.rlike(r"\p{L}"))
+    small = lambda w: F.lower(w).isin(*SMALL_WORDS)
+    capital = lambda w: w.rlike(r"^\p{Lu}")
+    person = lambda p: F.size(words(p)).between(2, 6) & capital(F.element_at(words(p), 1)) & ~small(F.element_at(words(p), -1)) & F.forall(words(p), lambda w: capital(w) | small(w))
+    return F.when((F.size(pieces) >= 3) & F.forall(pieces, person), pieces).otherwise(F.array(x))
 
 
 # --------------------------------------------------------------------------- parts of a name (plain Python)
@@ -176,16 +195,15 @@ def align(short: tuple[str, ...], long: tuple[str, ...]) -> list[tuple[str, str,
 
 
 def surname_score(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    """1 if equal or one is an end of the other; else the worse of the paternal and the rest's typo scores."""
+    """1 if equal, or if one is a single word that begins or ends the other; else the worse of the first words' and the
+    other words' typo scores.  A surname without words, or whose last word has one letter, agrees with none."""
     x, y = surname_words(a), surname_words(b)
-    if not x or not y:
-        return float(x == y)
-    n = min(len(x), len(y))
-    if x == y or x[:n] == y[:n] or x[-n:] == y[-n:]:
+    if not x or not y or len(x[-1]) < 2 or len(y[-1]) < 2:
+        return 0.0
+    if x == y or (min(len(x), len(y)) == 1 and (x[0] == y[0] or x[-1] == y[-1])):
         return 1.0
-    rest = lambda w: "".join(w[1:])
-    p, q = rest(x), rest(y)
-    tail = 1.0 if not p and not q else 0.0 if not p or not q else 1 - osa(p, q) / max(len(p), len(q))
+    p, q = " ".join(x[1:]), " ".join(y[1:])
+    tail = 1.0 if not p and not q else 0.0 if not p or not q else token_score(p, q)
     return min(token_score(x[0], y[0]), tail)
 
 

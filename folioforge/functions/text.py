@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuncAAAAAAEEEEIIIIOOOOOUUUUNC"
 # Boilerplate topics, compared in lower case.
-GENERIC_TAGS = ["tesis", "artículo", "article", "thesis", "documento", "document", "otro", "other", "n/a", "sin tema", "general", "varios"]
+GENERIC_TAGS = ["info:eu-repo", "cti", "classification", "openaccess", "12", "11", "1299", "129999", "110403", "1208", "masterthesis", "doctoralthesis", "bachelorthesis"]
 
 
 def nz(c: Column) -> Column:
@@ -63,16 +63,41 @@ def year_of(c: Column) -> Column:
     return F.regexp_extract(nz(c), r"\b((?:19|20)\d\d)\b", 1).try_cast("int")
 
 
-def doc_type(c: Column) -> Column:
-    """The first class that fits, in this order."""
-    t = F.lower(nz(c))
-    table = [("thesis|tesis|dissertation", "Tesis"), ("article|artículo|articulo", "Artículo"), ("book|libro", "Libro"), ("chapter|capítulo|capitulo", "Capítulo de Libro"), ("report|reporte|informe", "Reporte Técnico"), ("conference|conferencia|ponencia|proceeding", "Conferencia / Ponencia")]
-    out = F.lit("Documento Académico")
-    for pattern, name in reversed(table):
-        out = F.when(t.rlike(pattern), F.lit(name)).otherwise(out)
+# Classes of documents, first that fits.
+DOC_TYPES = [
+    ("tesis|thesis|dissertation|grado|maestr|doctor", "Tesis"),
+    ("art[ií]culo|article|journal|paper|revista", "Artículo"),
+    ("libro|book|monograph", "Libro"),
+    ("cap[ií]tulo|chapter|secci[oó]n", "Capítulo de Libro"),
+    ("reporte|informe|technical report", "Reporte Técnico"),
+    ("conferencia|conference|proceedings|ponencia|memorias", "Conferencia / Ponencia"),
+]
+STATISTICS_TYPES = [
+    ("tesis|thesis", "Tesis"),
+    ("art[ií]culo|article", "Artículo"),
+    ("libro|book", "Libro"),
+    ("conferencia|conference|ponencia", "Conferencia / Ponencia"),
+]
+OTHER_TYPE = "Documento Académico"
+
+
+def _first_class(c: Column, table: list[tuple[str, str]], pattern: str) -> Column:
+    out = F.lit(OTHER_TYPE)
+    for words, name in reversed(table):
+        out = F.when(nz(c).rlike(pattern.format(words)), F.lit(name)).otherwise(out)
     return out
 
 
+def doc_type(c: Column) -> Column:
+    """Class of a publication type; null is of the last one."""
+    return _first_class(c, DOC_TYPES, "(?iU){}")
+
+
+def statistics_type(c: Column) -> Column:
+    """Class of a document in the statistics: by whole words."""
+    return _first_class(c, STATISTICS_TYPES, r"(?iU)\b(?:{})\b")
+
+
 def section_label(c: Column, n: Column) -> Column:
     """Label of a paragraph by its first 150 characters, else its number."""
     head = F.lower(F.substring(nz(c), 1, 150))
@@ -97,21 +122,32 @@ def index_text(title: Column, creators: Column, contributors: Column, keywords:
     return F.concat_ws(" \n ", part(title, 3, False), part(creators, 2), part(contributors, 1), part(keywords, 2), part(description, 1, False), part(conclusions, 1, False))
 
 
+# Headings of the sections that are looked for, and what ends them.
+CONCLUSIONS = r"(?isU)\n(?:[0-9IVX\.\s]{0,6})?(conclusi(?:ones|ón)|concluding remarks|conclusions|discusión y conclusiones|conclusiones y recomendaciones)[\s:\.]*\n+(.+?)(?:\n+(?:[0-9IVX\.\s]{0,6})?(?:referencias|bibliograf[ií]a|agradecimientos|anexos|ap[eé]ndice|references|bibliography)|\Z)"
+REFERENCES = r"(?isU)\n(?:\d+\.|\b[IVXLCDM]+\b\.?)?\s*(referencias(?:\s+bibliogr[aá]ficas)?|bibliograf[ií]a|references|bibliography|fuentes\s+consultadas)[\s:\.]*\n+(.+?)(?:\n+(?:\d+\.|\b[IVXLCDM]+\b\.?)?\s*(?:anexos|ap[eé]ndice|appendix|ap[eé]ndices)\b|\Z)"
+ENTRY = r"\n\s*(?:\[\d+\]|\d+\.|\n)"
+
+
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def conclusions(c: Column) -> Column:
-    """The section under a conclusions heading, up to references, acknowledgements, annexes or the end."""
-    got = F.regexp_extract(nz(c), r"(?isU)(?:^|\n)[ \t\d.IVX]*(?:conclusi[oó]n(?:es)?|conclusions?)[^\n]{0,60}\n(.+?)(?=\n[ \t\d.IVX]*(?:referencias|bibliograf[ií]a|references|agradecimientos|acknowledg|anexos?|ap[eé]ndices?|appendix)|\z)", 1)
-    return F.substring(F.trim(got), 1, 3500)
+    """The section under a conclusions heading on a line of its own, up to references, acknowledgements, annexes or the
+    end; at most 3500 characters."""
+    return F.substring(_stripped(F.regexp_extract(nz(c), CONCLUSIONS, 2)), 1, 3500)
 
 
 def reference_section(c: Column) -> Column:
-    return F.regexp_extract(nz(c), r"(?isU)(?:^|\n)[ \t\d.IVX]*(?:referencias(?: bibliogr[aá]ficas)?|bibliograf[ií]a|references|literatura citada)[ \t:]*\n(.+?)(?=\n[ \t\d.IVX]*(?:anexos?|ap[eé]ndices?|appendix)|\z)", 1)
+    """The block under a references heading on a line of its own, up to annexes or the end."""
+    return _stripped(F.regexp_extract(nz(c), REFERENCES, 2))
 
 
 def split_references(block: Column) -> Column:
     """Entries by [n], n. or a blank line; squeezed; at least 25 characters; no page footers."""
-    parts = F.split(F.concat(F.lit("\n"), nz(block)), r"\n[ \t]*(?=\[\d+\])|\n[ \t]*(?=\d{1,3}\.[ \t])|\n[ \t]*\n")
-    clean = F.transform(parts, lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"\s+", " ")), r"^(?:\[\d+\]|\d{1,3}\.)\s*", ""))
-    return F.filter(clean, lambda x: (F.length(x) >= 25) & ~x.rlike(r"(?i)^(?:p[aá]gina|page)\s+\d+"))
+    parts = F.transform(F.split(nz(block), ENTRY), lambda x: _stripped(F.regexp_replace(x, r"(?U)\s+", " ")))
+    clean = F.transform(parts, lambda x: F.regexp_replace(x, r"^(?:\[\d+\]|\d+\.|-)\s*", ""))
+    return F.filter(clean, lambda x: (F.length(x) >= 25) & ~x.rlike(r"(?iU)^(?:página\s+\d+|page\s+\d+)$"))
 
 
 def paragraphs(c: Column, least: int = 80, most: int = 1500) -> Column:
@@ -162,7 +198,7 @@ def split_doc_key(key: Column) -> Column:
 
 def keywords(subject: Column) -> Column:
     """Segments at ; | or a line end, with classification URIs as their last part; CTI codes are left as
-    ``cti/<code>`` for :func:`folioforge.operators.catalogs.resolve_keywords`."""
+    ``cti/<code>`` for :func:`folioforge.sources.records.resolve_keywords`."""
     parts = F.transform(F.split(nz(subject), r"[;\n|]"), lambda x: F.trim(x))
     made = F.transform(parts, lambda x: F.when(x.rlike(r"(?i)^info:eu-repo/classification/cti/"), F.concat(F.lit("cti/"), F.regexp_extract(x, r"([^/]*)$", 1))).when(x.rlike(r"(?i)^info:eu-repo/classification/[^/]+/"), F.regexp_extract(x, r"^info:eu-repo/classification/[^/]+/(.*)$", 1)).otherwise(x))
     return F.array_distinct(F.filter(made, lambda x: F.length(x) >= 2))

@@ -137,16 +137,16 @@ def fetch(url: str, timeout: int = 180) -> str:
 
 
 def harvest_pages(endpoint: str, since: str | None = None, get: Callable[[str], str] = fetch, max_pages: int = 10_000) -> Iterator[tuple[str, str]]:
-    """(id, record XML) of an OAI-PMH endpoint, page after page; stops at an error, an empty body or the last token."""
+    """(id, record XML) of an OAI-PMH endpoint, page after page, up to an error element, an empty body or the last token.
+    A page that can't be fetched or parsed raises after the records of the pages before it."""
     url = endpoint
     if since and "from=" not in url:
         url += ("&" if "?" in url else "?") + "from=" + since[:10]
     for _ in range(max_pages):
-        try:
-            body = get(url)
-            root = ET.fromstring(body)
-        except (OSError, ET.ParseError):
+        body = get(url)
+        if not body.strip():
             return
+        root = ET.fromstring(body)
         if root.find(".//{*}error") is not None:
             return
         for r in root.iter():
@@ -162,7 +162,7 @@ def harvest_pages(endpoint: str, since: str | None = None, get: Callable[[str],
 
 def harvest_all(endpoints: DataFrame, get: Callable[[str], str] = fetch) -> DataFrame:
     """(repo, id, xml, error) of endpoints (repo, endpoint, since), one repository a task; one that fails doesn't stop the
-    others."""
+    others: the records it gave come, and then a row with the error and no id."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -182,6 +182,12 @@ def harvest_all(endpoints: DataFrame, get: Callable[[str], str] = fetch) -> Data
     return endpoints.select("repo", "endpoint", "since").repartition("repo").mapInPandas(run, "repo string, id string, xml string, error string")
 
 
+def next_cursor(endpoints: DataFrame, harvested: DataFrame, now: str) -> DataFrame:
+    """(repo, endpoint, since) for the next harvest: ``now`` for repositories without an error, else what it was."""
+    failed = harvested.where("error is not null").select("repo").distinct().withColumn("failed", F.lit(True))
+    return endpoints.join(failed, "repo", "left").select("repo", "endpoint", F.when(F.col("failed"), F.col("since")).otherwise(F.lit(now)).alias("since"))
+
+
 def extract_texts(spark: SparkSession, path: str) -> DataFrame:
     """(name, text) of the files under ``path``: plain text and simple HTML; other formats need a converter and give ''."""
 

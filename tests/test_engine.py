@@ -94,7 +94,7 @@ def test_small_text_functions(spark):
     assert one(spark, "Juan Carlos Pérez", T.initials_form) == "J C Pérez" and one(spark, "Ana", T.initials_form) == "Ana"
     assert one(spark, "ab", T.qgrams) == ["^ab$"] and one(spark, "abcd", T.qgrams) == ["^abc", "abcd", "bcd$"]
     assert one(spark, "see http://a.b/c A22-x", lambda c: T.text_tokens(c, ngrams=(1, 2)))[:4] == ["see", "url", "a0", "x"]
-    assert one(spark, "1 CONCLUSIONES\nAll is well.\nREFERENCIAS\n[1] x", T.conclusions) == "All is well."
+    assert one(spark, "\n1 CONCLUSIONES\nAll is well.\nREFERENCIAS\n[1] x", T.conclusions) == "All is well."
     block = one(spark, "x\nReferencias\n[1] Gómez, A. (2001). A long enough title.\n[2] Ruiz, B. 1999. Another title, long enough.\n[3] short\nAnexos\nz", T.reference_section)
     assert one(spark, block, T.split_references) == ["Gómez, A. (2001). A long enough title.", "Ruiz, B. 1999. Another title, long enough."]
     assert one(spark, "water; info:eu-repo/classification/cti/33 | info:eu-repo/classification/LCC/QA\nx;water", T.keywords) == ["water", "cti/33", "QA"]
