@@ -42,7 +42,8 @@ def citation_edges(references: DataFrame) -> DataFrame:
 
 def author_network(author: str, edges: DataFrame, cited: DataFrame | None = None, doc_authors: DataFrame | None = None, limit_coauthors: int = 15, limit_citers: int = 15) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) one hop around an author: coauthors, and authors of documents that cite it."""
-    co = top_coauthors(edges, limit_coauthors).where(F.col("a") == author)
+    own = edges.where((F.col("a") == author) | (F.col("b") == author))
+    co = top_coauthors(own, limit_coauthors).where(F.col("a") == author)
     out = co.select(F.col("a").cast("string").alias("source"), F.col("b").cast("string").alias("target"), F.lit("coauthor").alias("kind"), "weight")
     if cited is not None and doc_authors is not None:
         who = cited.where(F.col("cited_key") == T.name_key(F.lit(author))).join(doc_authors, "doc").where(F.col("author") != author)
@@ -72,37 +73,64 @@ def author_documents(author_docs: DataFrame, membership: DataFrame) -> DataFrame
 
 # --------------------------------------------------------------------------- statistics
 def statistics(docs: DataFrame, top_n: int = 15) -> DataFrame:
-    """One row for all and one per repo: totals, year range and histogram, types, topics, repositories.
+    """One row for all and one per repo: totals, year range and histogram, types by whole words, topics, repositories.
 
     ``docs`` has repo, file, has_fulltext, reference_count, type, keywords, year.
     """
     total = docs.groupingSets([["repo"], []], "repo").agg(F.count(F.lit(1)).alias("documents"), F.count("file").alias("files"), F.count_if("has_fulltext").alias("fulltexts"), F.coalesce(F.sum("reference_count"), F.lit(0)).alias("reference_total"), F.min(sane_year()).alias("year_min"), F.max(sane_year()).alias("year_max"), F.grouping("repo").alias("is_global"))
     total = total.withColumn("scope", F.when(F.col("is_global") == 1, F.lit("global")).otherwise(F.concat(F.lit("repo:"), "repo"))).drop("repo")
 
-    def histogram(value, name: str, order, n: int | None) -> DataFrame:
-        both = docs.select("repo", value.alias("v")).where("v is not null").select(F.explode(F.array(F.lit("global"), F.concat(F.lit("repo:"), "repo"))).alias("scope"), "v")
-        c = both.groupBy("scope", "v").agg(F.count(F.lit(1)).alias("n"))
-        r = c.withColumn("r", F.row_number().over(Window.partitionBy("scope").orderBy(*order)))
-        if n:
-            r = r.where(F.col("r") <= n)
-        return r.groupBy("scope").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "v", "n"))), lambda x: F.struct(x["v"].alias("value"), x["n"].alias("n"))).alias(name))
-
     big = [F.col("n").desc(), F.col("v")]
-    for part in (histogram(sane_year(), "years", [F.col("v")], None), histogram(T.doc_type(F.col("type")), "types", big, None), histogram(F.col("repo"), "repositories", big, None), top_topics(docs, top_n)):
+    for part in (_listed(counts(docs, sane_year()), "years", [F.col("v")]), _listed(counts(docs, T.statistics_type(F.col("type"))), "types", big), _listed(counts(docs, F.col("repo")), "repositories", big), top_topics(docs, top_n)):
         total = total.join(part, "scope", "left")
     return total
 
 
-def sane_year():
-    return F.when(F.col("year").between(1950, 2030), F.col("year"))
+def counts(docs: DataFrame, value) -> DataFrame:
+    """(scope, v, n): how often each value that isn't null occurs, in all documents and in each repository's."""
+    both = docs.select("repo", value.alias("v")).where("v is not null").select(F.explode(F.array(F.lit("global"), F.concat(F.lit("repo:"), "repo"))).alias("scope"), "v")
+    return both.groupBy("scope", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
-def top_topics(docs: DataFrame, top_n: int) -> DataFrame:
+def _listed(counted: DataFrame, name: str, order, top_n: int | None = None) -> DataFrame:
+    r = counted.withColumn("r", F.row_number().over(Window.partitionBy("scope").orderBy(*order)))
+    if top_n:
+        r = r.where(F.col("r") <= top_n)
+    return r.groupBy("scope").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "v", "n"))), lambda x: F.struct(x["v"].alias("value"), x["n"].alias("n"))).alias(name))
+
+
+def topic_counts(docs: DataFrame) -> DataFrame:
+    """:func:`counts` of keywords, trimmed, without the generic ones."""
     x = docs.select("repo", F.explode("keywords").alias("v")).select("repo", F.trim("v").alias("v")).where(~F.lower("v").isin(T.GENERIC_TAGS) & (F.col("v") != ""))
-    both = x.select(F.explode(F.array(F.lit("global"), F.concat(F.lit("repo:"), "repo"))).alias("scope"), "v")
-    c = both.groupBy("scope", "v").agg(F.count(F.lit(1)).alias("n"))
-    r = c.withColumn("r", F.row_number().over(Window.partitionBy("scope").orderBy(F.col("n").desc(), "v"))).where(F.col("r") <= top_n)
-    return r.groupBy("scope").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "v", "n"))), lambda x: F.struct(x["v"].alias("value"), x["n"].alias("n"))).alias("topics"))
+    return counts(x, F.col("v"))
+
+
+def top_topics(docs: DataFrame, top_n: int) -> DataFrame:
+    return _listed(topic_counts(docs), "topics", [F.col("n").desc(), F.col("v")], top_n)
+
+
+def top_researchers(docs: DataFrame, top_n: int = 15) -> DataFrame:
+    """(scope, rank, key, name, role, repo, n) of those named most often in documents (repo, doc, creators, contributors), by
+    name key; name, role and repository are those of the first sighting in the scope."""
+    from .authors import mentions
+
+    m = mentions(docs).withColumn("key", T.name_key(F.col("author"))).where("key <> ''")
+    m = m.select("key", "author", "role", "repo", "seq", F.explode(F.array(F.lit("global"), F.concat(F.lit("repo:"), "repo"))).alias("scope"))
+    c = m.groupBy("scope", "key").agg(F.min(F.struct("seq", "author", "role", "repo")).alias("f"), F.count(F.lit(1)).alias("n"))
+    r = c.withColumn("rank", F.row_number().over(Window.partitionBy("scope").orderBy(F.col("n").desc(), "key"))).where(F.col("rank") <= top_n)
+    return r.select("scope", "rank", "key", F.col("f.author").alias("name"), F.col("f.role").alias("role"), F.col("f.repo").alias("repo"), "n")
+
+
+def of_scope(statistics: DataFrame, repo: str | None = None) -> DataFrame:
+    """The row of a repository, or of all documents for none, blank or ``all``, with ``error``: null, or that there is none."""
+    scope = "global" if not repo or not repo.strip() or repo.strip().lower() == "all" else f"repo:{repo.strip()}"
+    asked = statistics.sparkSession.createDataFrame([(scope,)], "scope string")
+    found = statistics.withColumn("_found", F.lit(True))
+    return asked.join(found, "scope", "left").withColumn("error", F.when(F.col("_found").isNull(), F.concat(F.lit("no documents for "), "scope"))).drop("_found")
+
+
+def sane_year():
+    return F.when(F.col("year").between(1950, 2030), F.col("year"))
 
 
 def raw_profiles(mentions: DataFrame, caps: dict[str, int]) -> DataFrame:

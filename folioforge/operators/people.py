@@ -3,6 +3,7 @@ ids that stay over rebuilds."""
 
 from __future__ import annotations
 
+import tomllib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -83,14 +84,26 @@ def signatures(parts: DataFrame) -> DataFrame:
     return parts.where("not garbage").groupBy("given", "surname").agg(F.min("name").alias("rep"), F.first("keys").alias("keys"), F.collect_list("name").alias("members"))
 
 
+def given_keys(given):
+    """What two lists of given words share if they match by 0.9 on average: then some pair of words scores that much, so it
+    is equal, or within one edit at nine letters or more, or both have 18 letters.  No given words have a key of their own."""
+    of_word = lambda w: F.when(F.length(w) >= 9, deletions(w)).otherwise(F.array(w))
+    long = F.when(F.exists(given, lambda w: F.length(w) >= 18), F.array(F.lit("*"))).otherwise(F.expr("cast(array() as array<string>)"))
+    return F.when(F.size(given) == 0, F.array(F.lit(""))).otherwise(F.array_distinct(F.concat(F.flatten(F.transform(given, of_word)), long)))
+
+
 def compared(reps: DataFrame, test: str) -> DataFrame:
-    """(a, b) of representatives that share a surname key and pass a predicate of :mod:`folioforge.functions.names`.
+    """(a, b) of representatives that share a surname key, and for ``same_person`` a key of their given words, and pass a
+    predicate of :mod:`folioforge.functions.names`, which runs in batches on what is left.
 
-    The cheap surname bound goes first, in the join; the predicate runs in batches on what is left.
+    So a bucket of a common surname is never paired whole.  Pairs are found by names alone; parts are joined afterwards.
     """
-    x = reps.select(F.col("rep").alias("name"), "given", "surname", F.explode("keys").alias("key"))
+    x = reps.select(F.col("rep").alias("name"), F.explode("keys").alias("key"), *([given_keys(F.col("given")).alias("g")] if test == "same_person" else [F.array(F.lit("")).alias("g")]))
+    x = x.select("name", "key", F.explode("g").alias("g"))
     a, b = x.alias("a"), x.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.name") < F.col("b.name"))).select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("name", "given", "surname")]).dropDuplicates(["a_name", "b_name"])
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.name") < F.col("b.name"))).select(F.col("a.name").alias("a_name"), F.col("b.name").alias("b_name")).distinct()
+    for side in "ab":
+        pairs = pairs.join(reps.select(F.col("rep").alias(f"{side}_name"), F.col("given").alias(f"{side}_given"), F.col("surname").alias(f"{side}_surname")), f"{side}_name")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         check = getattr(N, test)
@@ -243,11 +256,81 @@ def lost_letters(words: DataFrame) -> DataFrame:
     w = words.select(F.lower("word").alias("w"))
     whole = w.where(~F.col("w").contains("?")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     broken = w.where(F.col("w").contains("?")).distinct()
-    # One lost letter: an equal key with that letter masked.  More: same length and first whole letters, then a pattern.
+    # One lost letter: an equal key with that letter masked.  More: same length and first whole letter, then a pattern.
     masks = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.concat(F.substring(F.col("w"), F.lit(1), i - 1), F.lit("?"), F.substring(F.col("w"), i + 1, F.length("w"))))
     single = broken.where(F.length("w") - F.length(F.replace("w", F.lit("?"), F.lit(""))) == 1)
     hit = single.join(whole.select(F.col("w").alias("found"), "n", F.explode(masks).alias("w")), "w")
-    several = broken.join(single, "w", "left_anti").select("w", F.length("w").alias("len"))
-    more = several.join(whole.select(F.col("w").alias("found"), "n", F.length("w").alias("len")), "len").where(F.forall(F.sequence(F.lit(1), F.col("len")), lambda i: (F.substring(F.col("w"), i, F.lit(1)) == "?") | (F.substring(F.col("w"), i, F.lit(1)) == F.substring(F.col("found"), i, F.lit(1)))))
+    letter = lambda i: F.substring(F.col("w"), i, F.lit(1))
+    several = broken.join(single, "w", "left_anti").withColumn("len", F.length("w")).withColumn("at", F.array_position(F.transform(F.sequence(F.lit(1), "len"), lambda i: letter(i) != "?"), F.lit(True)))
+    # A word without any whole letter can only be looked up by its length.
+    several = several.select("w", "len", "at", F.when(F.col("at") > 0, letter(F.col("at").cast("int"))).otherwise("").alias("letter"))
+    places = F.transform(F.sequence(F.lit(0), F.length("w")), lambda i: F.struct(i.cast("long").alias("at"), F.when(i > 0, letter(i)).otherwise("").alias("letter")))
+    more = several.join(whole.select(F.col("w").alias("found"), "n", F.length("w").alias("len"), F.explode(places).alias("p")).select("found", "n", "len", "p.*"), ["len", "at", "letter"]).where(F.forall(F.sequence(F.lit(1), F.col("len")), lambda i: (F.substring(F.col("w"), i, F.lit(1)) == "?") | (F.substring(F.col("w"), i, F.lit(1)) == F.substring(F.col("found"), i, F.lit(1)))))
     best = hit.select("w", "found", "n").unionByName(more.select("w", "found", "n")).groupBy("w").agg(F.min(F.struct(-F.col("n"), F.col("found").alias("found")))["found"].alias("repaired"))
     return broken.join(best, "w", "left").select(F.col("w").alias("word"), "repaired")
+
+
+def qgram_pairs(words: DataFrame, least: float = 0.3, q: int = 4) -> DataFrame:
+    """(a, b, sim), a < b, of distinct words whose padded q-gram sets have a Jaccard similarity of ``least`` or more.
+
+    Two such sets share one of the rarest n - ceil(least * n) + 1 of each, so only those are joined; sizes and the sets
+    themselves decide."""
+    w = words.select("w").where("w is not null").distinct().withColumn("g", T.qgrams(F.col("w"), q))
+    often = w.select(F.explode("g").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    ranked = w.select("w", F.size("g").alias("size"), F.explode("g").alias("x")).join(often, "x").groupBy("w", "size").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("o"))
+    prefix = ranked.select("w", "size", F.explode(F.slice("o", F.lit(1), F.col("size") - F.ceil(F.col("size") * least - 1e-9).cast("int") + 1)).alias("e")).where("e.n > 1").select("w", "size", F.col("e.x").alias("x"))
+    a, b = prefix.alias("a"), prefix.alias("b")
+    fits = (F.col("a.size") >= F.col("b.size") * least - 1e-9) & (F.col("b.size") >= F.col("a.size") * least - 1e-9)
+    pairs = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.w") < F.col("b.w")) & fits).select(F.col("a.w").alias("a"), F.col("b.w").alias("b")).distinct()
+    both = pairs.join(w.select(F.col("w").alias("a"), F.col("g").alias("ga")), "a").join(w.select(F.col("w").alias("b"), F.col("g").alias("gb")), "b")
+    return both.select("a", "b", T.jaccard(F.col("ga"), F.col("gb")).alias("sim")).where(F.col("sim") >= least)
+
+
+def surname_blocks(parts: DataFrame) -> DataFrame:
+    """(key, n): how many names share each surname key."""
+    return parts.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def load_overrides(text: str | None) -> dict[str, list[list[str]]]:
+    """merge, split and impute groups of a TOML text: groups of two or more names, splits of exactly two; none for no text."""
+    found = tomllib.loads(text or "")
+    good = lambda g: isinstance(g, list) and len(g) >= 2 and all(isinstance(x, str) for x in g)
+    out = {k: [g for g in found.get(k, []) if good(g)] for k in ("merge", "split", "impute")}
+    out["split"] = [g for g in out["split"] if len(g) == 2]
+    return out
+
+
+def override_edges(spark, groups: list[list[str]]) -> DataFrame:
+    """(a, b): the first name of each group with each other one."""
+    return spark.createDataFrame([(g[0], x) for g in groups for x in g[1:]], "a string, b string")
+
+
+def consolidated_ids(groups: DataFrame, counts: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """(name, consolidated_id, leader) of groups (name, grp) whose names have documents (``counts``: name, doc_count).
+
+    A group keeps the id of the leader it had before (``previous``: name, consolidated_id, leader boolean, one row a name);
+    where several met, that of the largest.  A new leader gets its raw id, unless another group had it before: then the
+    raw id with the first free suffix _00 to _99.
+    """
+    members = groups.join(counts, "name", "left").select("grp", "name", F.coalesce("doc_count", F.lit(0)).alias("doc_count"))
+    old = None
+    if previous is not None:
+        size = previous.groupBy("consolidated_id").agg(F.count(F.lit(1)).alias("size"))
+        old = previous.where("leader").join(size, "consolidated_id").select("name", "size", F.col("consolidated_id").alias("had"))
+    leaders = choose_leaders(members, old.select("name", "size") if old is not None else None).withColumnRenamed("leader", "name")
+    leaders = leaders.join(raw_ids(groups.select("name")), "name")
+    if old is None:
+        named = leaders.withColumn("consolidated_id", F.col("raw_id"))
+    else:
+        leaders = leaders.join(old.select("name", "had"), "name", "left")
+        taken = previous.select(F.col("consolidated_id").alias("t")).unionByName(raw_ids(groups.select("name")).select(F.col("raw_id").alias("t"))).distinct()
+        base = taken.withColumn("raw_id", F.regexp_replace("t", r"^([^_]*_\d{4})_\d\d$", "$1"))
+        used = base.groupBy(F.col("raw_id").alias("base")).agg(F.collect_set("t").alias("used"))
+        fresh = leaders.where("had is null").join(previous.select(F.col("consolidated_id").alias("raw_id")).distinct().withColumn("lost", F.lit(True)), "raw_id", "left")
+        fresh = fresh.withColumn("base", F.regexp_replace("raw_id", r"^([^_]*_\d{4})_\d\d$", "$1")).join(used, "base", "left")
+        free = F.array_except(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.concat("base", F.lit("_"), F.lpad(i.cast("string"), 2, "0"))), F.coalesce("used", F.expr("cast(array() as array<string>)")))
+        turn = F.row_number().over(Window.partitionBy("base", "lost").orderBy("name"))
+        fresh = fresh.withColumn("turn", turn).withColumn("consolidated_id", F.when(F.col("lost").isNull(), F.col("raw_id")).otherwise(F.coalesce(F.get(free, F.col("turn") - 1), F.raise_error(F.lit("suffixes are used up")))))
+        named = leaders.where("had is not null").select("name", "grp", F.col("had").alias("consolidated_id")).unionByName(fresh.select("name", "grp", "consolidated_id"))
+    ids = named.select("grp", "consolidated_id", F.col("name").alias("_leader"))
+    return groups.join(ids, "grp").select("name", "consolidated_id", (F.col("name") == F.col("_leader")).alias("leader"))

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import authors as A
 from ..operators import graph as G
 from ..operators import people as P
+from ..operators import references as C
 from ..operators import search as S
 from ..operators.components import connected_components
 from ..sources import records as R
@@ -137,23 +139,29 @@ def _doc_topics(spark, sf_dir):
 
 @query(f"SELECT year, count(*) AS n FROM {_DOC} WHERE year BETWEEN 1950 AND 2030 GROUP BY year")
 def year_histogram(spark, sf_dir):
-    return _docs(spark, sf_dir).select(G.sane_year().alias("year")).where("year is not null").groupBy("year").agg(F.count(F.lit(1)).alias("n"))
+    return G.counts(_docs(spark, sf_dir), G.sane_year()).where("scope = 'global'").select(F.col("v").alias("year"), "n")
 
 
-@query(f"SELECT type, count(*) AS n FROM {_DOC} GROUP BY type")
+#: Order priorities stand for the types of documents.
+_KINDS = {"1-URGENT": "Master thesis", "2-HIGH": "journal article", "3-MEDIUM": "book chapter", "4-NOT SPECIFIED": "Ponencia"}
+
+
+@query(f"""SELECT scope, type, count(*) AS n FROM (SELECT unnest(['global', 'repo:' || repo]) AS scope,
+CASE type WHEN '1-URGENT' THEN 'Tesis' WHEN '2-HIGH' THEN 'Artículo' WHEN '3-MEDIUM' THEN 'Libro' WHEN '4-NOT SPECIFIED' THEN 'Conferencia / Ponencia' ELSE 'Documento Académico' END AS type FROM {_DOC}) GROUP BY scope, type""")
 def type_distribution(spark, sf_dir):
-    return _docs(spark, sf_dir).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    kind = F.coalesce(*[F.when(F.col("type") == k, F.lit(v)) for k, v in _KINDS.items()], F.col("type"))
+    return G.counts(_docs(spark, sf_dir), T.statistics_type(kind)).select("scope", F.col("v").alias("type"), "n")
 
 
 @query(f"SELECT repo, count(*) AS n FROM {_DOC} GROUP BY repo")
 def top_repositories(spark, sf_dir):
-    return _docs(spark, sf_dir).groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
+    return G.counts(_docs(spark, sf_dir), F.col("repo")).where("scope = 'global'").select(F.col("v").alias("repo"), "n")
 
 
 @query("SELECT keyword, n FROM (SELECT trim(p_type) AS keyword, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1) ORDER BY n DESC, keyword LIMIT 15")
 def top_keywords(spark, sf_dir):
-    x = _doc_topics(spark, sf_dir).select(F.trim("keyword").alias("keyword")).where(~F.lower("keyword").isin(T.GENERIC_TAGS))
-    return x.groupBy("keyword").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "keyword").limit(15)
+    x = G.topic_counts(_doc_topics(spark, sf_dir).select("repo", F.array("keyword").alias("keywords"))).where("scope = 'global'")
+    return x.select(F.col("v").alias("keyword"), "n").orderBy(F.col("n").desc(), "keyword").limit(15)
 
 
 @query(f"""SELECT CASE WHEN grouping(repo) = 1 THEN 'global' ELSE 'repo:' || repo END AS scope, count(*) AS documents, min(year) AS year_min, max(year) AS year_max FROM {_DOC} GROUP BY GROUPING SETS ((repo), ())""")
@@ -258,42 +266,37 @@ _QG = "list_distinct(list_transform(range(1, greatest(length(w) - 1, 1) + 1), la
 x AS (SELECT w, len(g) AS n, unnest(g) AS q FROM g), p AS (SELECT a.w AS a, b.w AS b, any_value(a.n) AS an, any_value(b.n) AS bn, count(*) AS i FROM x a JOIN x b ON a.q = b.q AND a.w < b.w GROUP BY 1, 2)
 SELECT a, b, round(i / (an + bn - i), 6) AS sim FROM p WHERE i / (an + bn - i) >= 0.3""")
 def qgram_jaccard_pairs(spark, sf_dir):
-    w = table(spark, sf_dir, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("w")).distinct().withColumn("g", T.qgrams(F.col("w")))
-    x = w.select("w", F.size("g").alias("n"), F.explode("g").alias("q"))
-    a, b = x.alias("a"), x.alias("b")
-    p = a.join(b, (F.col("a.q") == F.col("b.q")) & (F.col("a.w") < F.col("b.w"))).groupBy(F.col("a.w").alias("a"), F.col("b.w").alias("b"), F.col("a.n").alias("an"), F.col("b.n").alias("bn")).agg(F.count(F.lit(1)).alias("i"))
-    sim = F.col("i") / (F.col("an") + F.col("bn") - F.col("i"))
-    return p.where(sim >= 0.3).select("a", "b", F.round(sim, 6).alias("sim"))
+    w = table(spark, sf_dir, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("w"))
+    return P.qgram_pairs(w, 0.3).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 def _words(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("token").rlike("^[a-z]{4,}$")).withColumn("role", F.lit("given"))
+    return table(spark, sf_dir, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).withColumn("role", F.lit("given"))
 
 
-_WORDS = f"w AS (SELECT token, count(*) AS n FROM (SELECT unnest({TOKENS.format('text')}) AS token FROM benchmark) WHERE regexp_full_match(token, '[a-z]{{4,}}') GROUP BY token)"
+# DuckDB's edit distance counts bytes: each accented letter of the benchmark gets a capital, which no token has, in its place.
+_WORDS = f"w AS (SELECT token, translate(token, 'ßäçèéêíñóöü', 'ABCDEFGHIJK') AS one, count(*) AS n FROM (SELECT unnest({TOKENS.format('text')}) AS token FROM benchmark) GROUP BY token)"
+_NEAR = "abs(length(a.one) - length(b.one)) <= 1 AND damerau_levenshtein(a.one, b.one) <= 1"
 
 
-@query(f"WITH {_WORDS} SELECT a.token, b.token AS other FROM w a JOIN w b ON a.token <> b.token AND abs(length(a.token) - length(b.token)) <= 1 AND damerau_levenshtein(a.token, b.token) <= 1")
+@query(f"WITH {_WORDS} SELECT a.token, b.token AS other FROM w a JOIN w b ON a.token <> b.token AND {_NEAR}")
 def osa_neighbours_r1(spark, sf_dir):
     return P.neighbours(_words(spark, sf_dir)).select("token", "other")
 
 
-@query(f"WITH {_WORDS} SELECT a.token, arg_min(b.token, struct_pack(m := -b.n, t := b.token)) AS corrected FROM w a JOIN w b ON a.token <> b.token AND a.n <= 1 AND b.n >= 2 AND abs(length(a.token) - length(b.token)) <= 1 AND damerau_levenshtein(a.token, b.token) <= 1 GROUP BY a.token")
+@query(f"WITH {_WORDS} SELECT a.token, arg_min(b.token, struct_pack(m := -b.n, t := b.token)) AS corrected FROM w a JOIN w b ON a.token <> b.token AND a.n <= 1 AND b.n >= 2 AND {_NEAR} GROUP BY a.token")
 def token_correction(spark, sf_dir):
     return P.corrections(_words(spark, sf_dir)).select("token", "corrected")
 
 
-@query("SELECT key, count(*) AS n FROM (SELECT DISTINCT p_partkey, unnest([split_part(p_name, ' ', 1), split_part(p_name, ' ', -1)]) AS key FROM part) GROUP BY key")
+@query("SELECT split_part(p_name, ' ', 2) AS key, count(*) AS n FROM (SELECT DISTINCT p_name FROM part) GROUP BY 1")
 def surname_blocks(spark, sf_dir):
-    w = F.split("p_name", " ")
-    return table(spark, sf_dir, "part").select(F.explode(F.array_distinct(F.array(F.element_at(w, 1), F.element_at(w, -1)))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return P.surname_blocks(P.name_parts(table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS a, 's' || l_suppkey AS b FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.08),
-u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node WHERE r.root <= u.b)
-SELECT node, min(root) AS component FROM r GROUP BY node""")
+@query()
 def components(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").where("l_quantity > 49 and l_discount > 0.08")
+    e = table(spark, sf_dir, "lineitem")
     return connected_components(e.select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")))
 
 
@@ -335,9 +338,74 @@ def lost_letter_repair(spark, sf_dir):
     return P.lost_letters(w.unionByName(broken))
 
 
-@query("SELECT page_id AS key, regexp_extract(url, '^[a-z]+://[^/?#]+', 0) || href AS link FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*[\"'']([^\"''?#]+)', 1)) AS href FROM pages) WHERE regexp_matches(href, '(?i)\\.(pdf|doc|docx|odt|txt|html|htm|epub)$')")
+_PAPERS = "html || '<a href=\"/privacy-notice.pdf\">x</a><a href=\"' || CASE page_id % 3 WHEN 0 THEN '/files/' WHEN 1 THEN 'https://x.org/' ELSE 'sub/' END || page_id || CASE page_id % 2 WHEN 0 THEN '.PDF?d=1' ELSE '.docx' END || '\">y</a><a href=\"/z.pdf\">'"
+
+
+@query(f"""SELECT page_id AS key, CASE WHEN href LIKE '%://%' THEN href WHEN href LIKE '/%' THEN regexp_extract(url, '^[a-z]+://[^/?#]+', 0) || href ELSE regexp_extract(url, '^([a-z]+://[^?#]*/)', 1) || href END AS link
+FROM (SELECT page_id, url, list_filter(regexp_extract_all({_PAPERS}, '(?i)href\\s*=\\s*["'']([^"''?#]+)', 1), lambda x: regexp_matches(x, '(?i)\\.(pdf|doc|docx|odt|txt|html|htm|epub)$') AND NOT regexp_matches(x, '(?i)privacidad|privacy|licen[cs]'))[1] AS href FROM pages WHERE url IS NOT NULL) WHERE href IS NOT NULL""")
 def link_extract(spark, sf_dir):
-    return R.document_links(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    pages = table(spark, sf_dir, "pages").where("url is not null")
+    kind = F.when(F.col("page_id") % 3 == 0, "/files/").when(F.col("page_id") % 3 == 1, "https://x.org/").otherwise("sub/")
+    link = F.concat(F.lit('<a href="/privacy-notice.pdf">x</a><a href="'), kind, F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".PDF?d=1").otherwise(".docx"), F.lit('">y</a><a href="/z.pdf">'))
+    return R.document_links(pages.withColumn("html", F.concat("html", link)), "page_id", "url", "html")
+
+
+def _scored(tokens: str, source: str, question: str, min_df: int = 1) -> str:
+    """SQL of BM25 scores s(key, score) of one question over ``source`` (key, text)."""
+    return f"""WITH x AS ({source}), qt AS (SELECT DISTINCT unnest({tokens.format("'" + question + "'")}) AS term),
+p AS (SELECT key, term, count(*) AS tf FROM (SELECT key, unnest({tokens.format("text")}) AS term FROM x) GROUP BY key, term),
+l AS (SELECT key, sum(tf) AS len FROM p GROUP BY key), t AS (SELECT term, count(*) AS df FROM p GROUP BY term HAVING count(*) >= {min_df}), n AS (SELECT count(*) AS n, avg(len) AS avg_len FROM l),
+s AS (SELECT p.key, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM p JOIN qt USING (term) JOIN t USING (term) JOIN l ON l.key = p.key, n GROUP BY p.key)"""
+
+
+_AUTHOR = "SELECT 'p' || p_partkey AS key, p_name || ' . ' || CASE WHEN len(w) < 2 THEN p_name ELSE array_to_string(list_transform(w[1:-2], lambda x: substr(x, 1, 1)), ' ') || ' ' || w[-1] END AS text FROM (SELECT p_partkey, p_name, list_filter(string_split(p_name, ' '), lambda x: x <> '') AS w FROM part)"
+
+
+def _authors(spark, sf_dir):
+    """Parts as authors: brand and type as keywords, the maker as repository."""
+    x = table(spark, sf_dir, "part")
+    none = F.expr("cast(array() as array<string>)")
+    return x.select(F.concat(F.lit("p"), "p_partkey").alias("consolidated_id"), F.col("p_name").alias("name"), F.lit("Autor").alias("role"), F.col("p_size").alias("doc_count"), F.array("p_name").alias("raw_names"), F.array("p_brand").alias("repos"), none.alias("coauthors"), F.array("p_brand", "p_type").alias("keywords"), none.alias("topic_texts"), none.alias("cited_references"))
+
+
+_Q_AUTHOR = "hot gear"
+
+
+@query(_scored(TOKENS, _AUTHOR, _Q_AUTHOR) + ", r AS (SELECT *, row_number() OVER (ORDER BY score DESC, key) AS rank FROM s) SELECT key AS consolidated_id, p_name AS name, p_size AS doc_count, score, rank, (SELECT max(rank) FROM r) > 20 AS has_more FROM r JOIN part ON key = 'p' || p_partkey WHERE rank <= 20")
+def search_authors(spark, sf_dir):
+    a = _authors(spark, sf_dir)
+    return A.search_authors(a, A.name_index(a), {"q": _Q_AUTHOR}, 20).select("consolidated_id", "name", "doc_count", "score", "rank", "has_more")
+
+
+@query(_scored(TOKENS, _AUTHOR, _Q_AUTHOR) + ", r AS (SELECT *, row_number() OVER (ORDER BY score DESC, key) AS rank FROM s JOIN part ON key = 'p' || p_partkey WHERE p_brand = 'Brand#1') SELECT key AS consolidated_id, score, rank FROM r WHERE rank <= 20")
+def search_authors_repo(spark, sf_dir):
+    a = _authors(spark, sf_dir)
+    return A.search_authors(a, A.name_index(a), {"q": _Q_AUTHOR}, 20, 0, "Brand#1").select("consolidated_id", "score", "rank")
+
+
+_REFS = "SELECT conv_id AS key, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id"
+_REF_TOKENS = "list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(regexp_replace({}, 'https?://\\S+|www\\.\\S+', ' url ', 'g')), '\\p{{N}}+', '0', 'g'), '\\s+', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+def _cited(spark, sf_dir):
+    """Conversations as documents, their turns as references."""
+    r = F.struct("turn", F.col("text").alias("text"))
+    x = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("key")).agg(F.array_sort(F.collect_list(r)).alias("references"))
+    return x.select("key", F.lit("r").alias("repo"), F.lit("").alias("title"), F.lit("").alias("creator"), F.lit("").alias("description"), "references")
+
+
+@query(_scored(_REF_TOKENS, _REFS, Q["q1"], 5) + ", r AS (SELECT *, row_number() OVER (ORDER BY score DESC, key) AS rank FROM s), c AS (SELECT conv_id, count(*) AS total_references FROM conversations GROUP BY conv_id) SELECT key, total_references, score, rank FROM r JOIN c ON conv_id = key WHERE rank <= 10")
+def search_references(spark, sf_dir):
+    d = _cited(spark, sf_dir)
+    return C.search_references(d, C.reference_index(d), {"q": Q["q1"]}).select("key", F.col("total_references").cast("long").alias("total_references"), "score", "rank")
+
+
+@query("SELECT conv_id AS key, turn AS ref_num, text FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM conversations)")
+def document_references(spark, sf_dir):
+    d = table(spark, sf_dir, "conversations")
+    first = d.agg(F.min("conv_id")).first()[0]
+    stored = d.select(F.col("conv_id").alias("key"), F.col("turn").alias("ref_num"), "text")
+    return C.document_references(_cited(spark, sf_dir), first, stored)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
