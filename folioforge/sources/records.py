@@ -182,6 +182,28 @@ def harvest_all(endpoints: DataFrame, get: Callable[[str], str] = fetch) -> Data
     return endpoints.select("repo", "endpoint", "since").repartition("repo").mapInPandas(run, "repo string, id string, xml string, error string")
 
 
+def harvest_into(spark: SparkSession, endpoints: dict[str, str], data: str, now: str, incremental: bool = True, get: Callable[[str], str] = fetch) -> DataFrame:
+    """Harvest repositories (name: endpoint) and append the records not yet in ``data``; (repo, new, error) of each.
+
+    The day of each repository's last harvest without an error is kept in ``data``/_cursors; with ``incremental`` a
+    harvest begins there.  One that fails keeps its cursor and the records it gave."""
+    from ..plans.shared import save
+
+    state = f"{data}/_cursors"
+    wanted = spark.createDataFrame(list(endpoints.items()), "repo string, endpoint string")
+    known = read_jsonl(spark, state, "repo string, since string")
+    ends = save(wanted.join(known, "repo", "left").select("repo", "endpoint", F.col("since") if incremental else F.lit(None).cast("string").alias("since")), "endpoints")
+    got = save(harvest_all(ends, get), "harvest")
+    old = records(spark, data).select("repo", "id").where("id is not null")
+    new = save(append_new(old, got.where("id is not null").select("repo", "id", "xml", F.lit(None).cast("string").alias("file"), F.lit("harvested").alias("status")), ("repo", "id")), "new-records")
+    new.write.partitionBy("repo").mode("append").json(data)
+    cursors = next_cursor(ends, got, now).where("since is not null").select("repo", "since")
+    kept = save(known.join(wanted.select("repo"), "repo", "left_anti").unionByName(cursors), "cursors")
+    kept.write.mode("overwrite").json(state)
+    told = got.groupBy("repo").agg(F.max("error").alias("error"))
+    return ends.select("repo").join(new.groupBy("repo").agg(F.count(F.lit(1)).alias("new")), "repo", "left").join(told, "repo", "left").select("repo", F.coalesce("new", F.lit(0)).alias("new"), "error").orderBy("repo")
+
+
 def next_cursor(endpoints: DataFrame, harvested: DataFrame, now: str) -> DataFrame:
     """(repo, endpoint, since) for the next harvest: ``now`` for repositories without an error, else what it was."""
     failed = harvested.where("error is not null").select("repo").distinct().withColumn("failed", F.lit(True))

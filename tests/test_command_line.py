@@ -4,6 +4,7 @@ import pytest
 
 from folioforge.__main__ import main
 from folioforge.plans import shared
+from folioforge.sources import records as R
 
 
 def record(n, title, who, year):
@@ -50,6 +51,51 @@ def test_similar_status_info(folders, capsys):
     assert [(r["scope"], r["documents"]) for r in info] == [("global", 4), ("repo:r1", 2), ("repo:r2", 2)]
 
 
+def test_authors_references_and_http(spark, folders, capsys):
+    import threading
+    import urllib.request
+
+    from folioforge.server import answer, serve
+
+    main([*folders, "prepare-index"])
+    assert said(capsys, *folders, "authors", "ana")[0] == 1  # not built yet
+    for _ in range(2):  # ids stay
+        assert said(capsys, *folders, "consolidate-authors") == (0, [])
+        got = said(capsys, *folders, "authors", "ana gil")[1]
+        assert [(r["name"], r["doc_count"]) for r in got] in ([("Ana Gil", 8)], [("Gil, Ana", 8)])
+    assert said(capsys, *folders, "references", "anything") == (0, [])
+    assert said(capsys, *folders, "document", "r1:0")[1][0]["title"] == "Salmon of northern rivers" and said(capsys, *folders, "document", "r9:0") == (0, [])
+    assert said(capsys, *folders, "stats", "--repo", "r2")[1][0]["documents"] == 2 and "r9" in said(capsys, *folders, "stats", "--repo", "r9")[1][0]["error"]
+    index = folders[-1]
+    status, body = answer(spark, index, "/api/search?q=salmon&top=1&year_min=x&repo=all")
+    assert status == 200 and body["has_more"] and body["total_hits"] == 1
+    assert answer(spark, index, "/api/search")[0] == 400 and answer(spark, index, "/none")[0] == 404 and answer(spark, f"{index}-none", "/api/info")[0] == 500
+    server = serve(spark, index, 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/api/document?repo=r2&id=1") as r:
+        assert json.loads(r.read())["hits"][0]["title"] == "Bridges"
+    server.shutdown()
+
+
+def test_harvest_into(spark, tmp_path):
+    page = lambda ids, token="": "<O><ListRecords>" + "".join(f"<record><header><identifier>{i}</identifier></header></record>" for i in ids) + f"<resumptionToken>{token}</resumptionToken></ListRecords></O>"
+    asked = []
+
+    def get(url):
+        asked.append(url)
+        if "bad" in url:
+            raise OSError("gone")
+        return page("ab" if "from" not in url else "bc")
+
+    ends = {"r1": "http://one/oai", "r2": "http://bad/oai"}
+    told = lambda now, **k: [(r.repo, r.new, r.error is None) for r in R.harvest_into(spark, ends, str(tmp_path / "d"), now, get=get, **k).collect()]
+    assert told("2021-01-01") == [("r1", 2, True), ("r2", 0, False)]
+    assert told("2021-02-01") == [("r1", 1, True), ("r2", 0, False)]
+    assert told("2021-03-01", incremental=False) == [("r1", 0, True), ("r2", 0, False)]
+    assert sorted((r.repo, r.id) for r in R.records(spark, str(tmp_path / "d")).collect()) == [("r1", "a"), ("r1", "b"), ("r1", "c")]
+    assert [r.since for r in R.read_jsonl(spark, str(tmp_path / "d/_cursors"), "repo string, since string").collect()] == ["2021-03-01"]
+
+
 def test_clean(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(shared, "shared_dir", lambda _: f"file://{tmp_path}")  # other tests' tables are elsewhere
     kept = shared.save(spark.range(3).toDF("a"), "clean-test")
