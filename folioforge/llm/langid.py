@@ -24,6 +24,7 @@ from .common import LOWER, text_blocks, with_fields
 DIMS_LOG2 = 13
 DIMS = 1 << DIMS_LOG2
 SAMPLE = 2000
+MOST_LANGS = 500  # a bound of the sample, for a lang column of very many values
 CENTROIDS = 3
 SLACK = 0.2
 UNKNOWN = "und"
@@ -93,13 +94,12 @@ def fit(texts: list[str], langs: list[str], centroids: int = CENTROIDS, slack: f
 
 def train(labelled: DataFrame, sample: int = SAMPLE, **options) -> Model:
     """Fit on at most about ``sample`` rows of ``labelled`` (doc_id, text, lang; nulls left out), evenly by
-    language, chosen by a hash of doc_id and text."""
+    language, chosen by a hash of doc_id and text.  Only the ``MOST_LANGS`` languages of most rows are learned."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    size = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    size = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGS).collect()}
     each = max(1, sample // max(1, len(size)))
-    share = F.lit(0.0)
-    for lang, n in size.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.2 * each / n))).otherwise(share)
+    shares = F.create_map(*[F.lit(x) for lang, n in size.items() for x in (lang, min(1.0, 1.2 * each / n))]) if size else None
+    share = F.coalesce(shares[F.col("lang")], F.lit(0.0)) if size else F.lit(0.0)
     at = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     picked: dict[str, list] = {}
     for r in rows.withColumn("_at", at).where(F.col("_at") < share).select("_at", "lang", "text").collect():

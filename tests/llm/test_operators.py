@@ -460,7 +460,7 @@ def test_urls(spark):
 
 
 # ------------------------------------------------------------------ 9 language
-def test_language(spark, docs):
+def test_language(spark, docs, monkeypatch):
     d = langid.split_by_crc(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 4, 2)
     model = langid.train(d.where("not held_out"))
     got = langid.identify(d.where("held_out"), model).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.avg(F.col("lang_rejected").cast("int"))).first()
@@ -468,6 +468,9 @@ def test_language(spark, docs):
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 34 !"), (4, "Съешь же ещё этих мягких французских булок")], "doc_id long, text string")
     rows = {r.doc_id: r for r in langid.identify(odd, model).collect()}
     assert [rows[k].lang_pred for k in (1, 2, 3)] == ["und"] * 3 and all(rows[k].lang_rejected for k in (1, 2, 3, 4)) and rows[4].lang_pred != "und"
+    monkeypatch.setattr(langid, "MOST_LANGS", 2)
+    dirty = spark.createDataFrame([(k, f"word{k} text", f"x{k}" if k > 9 else "ab"[k % 2]) for k in range(40)], "doc_id long, text string, lang string")
+    assert set(langid.train(dirty).langs) == {"a", "b"}
     nothing = langid.train(docs.limit(0))
     assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
     assert langid.identify(docs.limit(0), model).collect() == []
