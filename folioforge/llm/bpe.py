@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 CACHE_WORDS = 120_000
 CACHE_LONGEST = 64
 SCAN_MOST = 256
@@ -207,7 +209,7 @@ def token_digests(documents: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame:
@@ -220,7 +222,7 @@ def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return small_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:

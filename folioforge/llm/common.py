@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -14,6 +16,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from ..operators.components import connected_components  # noqa: F401
 from ..plans.shared import forget, new_path, save, shared_dir  # noqa: F401
 
+BATCH_BYTES = 4 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -22,6 +25,16 @@ def spread(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session from now on hands Python batches of about BATCH_BYTES, unless it has a bound of its own.
+
+    Spark's bound is 10,000 rows, which for long texts are many times as many bytes, twice: in the JVM and in Python."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, UPPER, UPPER.lower())
@@ -60,6 +73,7 @@ def _byte_values() -> np.ndarray:
 BYTE_VALUES = _byte_values()
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+PIECE = 1 << 17  # bytes hashed together
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -99,10 +113,30 @@ class Words:
         self.start = np.flatnonzero(word & (~before | first[:n]))
         self.end = np.flatnonzero(word & (~after | last[1:])) + 1
         self.bounds = np.searchsorted(self.start, offsets)
-        p, q = powers(n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[data] * p[:n], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * q[self.start])
+        self.hash = np.empty(len(self.start), np.uint64)
+        a = 0
+        while a < len(self.start):  # whole words of PIECE bytes together, or one longer word
+            low = int(self.start[a])
+            b = max(a + 1, int(np.searchsorted(self.end, low + PIECE, "right")))
+            high = int(self.end[b - 1])
+            p, q = powers(high - low)
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(BYTE_VALUES[data[low:high]] * p[: high - low], out=sums[1:])
+            at = self.start[a:b] - low
+            self.hash[a:b] = mix((sums[self.end[a:b] - low] - sums[at]) * q[at])
+            a = b
+
+
+def row_bounds(column: pa.Array, most: int) -> list[int]:
+    """Where to cut the rows of a string column into runs of about ``most`` bytes; a longer text is a run of its own."""
+    n = len(column)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0]
+    while cuts[-1] < n:
+        a = cuts[-1]
+        b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right"))
+        cuts.append(min(max(b, a + 1), n))
+    return cuts
 
 
 def text_blocks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -110,18 +144,12 @@ def text_blocks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, in
     null counts as empty.  A longer text is a block of its own."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.fill_null("").cast(pa.large_string())
-    if not len(column):
-        return
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    a, n = 0, len(column)
-    while a < n:
-        b = int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1
-        b = min(max(b, a + 1), n)
-        yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        a = b
+    for a, b in itertools.pairwise(row_bounds(column, most)):
+        part = column.slice(a, b - a).fill_null("").cast(pa.large_string())
+        _, offsets, data = part.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        yield a, b, data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 def with_fields(df: DataFrame, fields: str) -> StructType:

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, text_blocks, with_fields
+from .common import LOWER, small_batches, text_blocks, with_fields
 
 DIMS_LOG2 = 13
 DIMS = 1 << DIMS_LOG2
@@ -139,7 +139,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
                 bad[:] = True
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(bad)], [*batch.schema.names, *added])
 
-    return documents.mapInArrow(run, schema)
+    return small_batches(documents).mapInArrow(run, schema)
 
 
 def split_by_crc(documents: DataFrame, modulus: int, rest: int) -> DataFrame:

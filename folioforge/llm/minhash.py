@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, connected_components, mix, save, spread, text_blocks
+from .common import Words, connected_components, mix, save, small_batches, spread, text_blocks
 
 LEFT, LEFT_ROWS, RIGHT, RIGHT_ROWS = 12, 3, 8, 2
 BROADCAST_IDS = 1_000_000  # 8 bytes each
@@ -100,7 +100,7 @@ def _sketches(documents: DataFrame, width: int) -> DataFrame:
                 found.append(bands(s).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_id", "bands"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {_kind(documents)}, n_shingles long, set_id binary, bands array<long>")
+    return small_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {_kind(documents)}, n_shingles long, set_id binary, bands array<long>")
 
 
 def _full_sets(documents: DataFrame, width: int) -> DataFrame:
@@ -108,7 +108,7 @@ def _full_sets(documents: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in shingle_sets(batch.column(1), width)], pa.list_(pa.int64()))], ["id", "s"])
 
-    return documents.mapInArrow(run, f"id {documents.schema['id'].dataType.simpleString()}, s array<long>")
+    return small_batches(documents).mapInArrow(run, f"id {documents.schema['id'].dataType.simpleString()}, s array<long>")
 
 
 def _keys(reps: DataFrame) -> DataFrame:
