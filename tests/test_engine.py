@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import re
 import xml.etree.ElementTree as ET
 
 import duckdb
@@ -66,6 +67,28 @@ def test_search_invariants(spark):
     assert len({r.key for p in pages for r in p}) == 30
 
 
+def test_searches_count_only_their_terms_and_sum_them_in_place(spark):
+    rows_ = [(k % 25, f"river {'stone ' * (k % 5)} word{k}") for k in range(30)] + [(None, "stone"), (40, None)]
+    for docs in (rows_, rows_[:25]):  # with keys that repeat, and without
+        index = S.build_index(spark.createDataFrame(docs, "key int, text string"), "key", T.tokens(F.col("text")))
+        words = {}
+        for key, text in docs:
+            words.setdefault(key, []).extend((text or "").split())
+        df = {t: sum(t in w for w in words.values()) for t in {t for w in words.values() for t in w}}
+        assert {r.term: r.df for r in index.terms.collect()} == df
+        q = S.query_terms(spark, {"a": "Stone word3"})
+        few = index.of(q)
+        assert {r.term: r.df for r in few.terms.collect()} == {t: df[t] for t in ("stone", "word3")}
+        assert {(r.key, r.term, r.tf) for r in few.postings.collect()} == {(k, t, w.count(t)) for k, w in words.items() for t in ("stone", "word3") if t in w}
+        plan = few.postings._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Aggregate") < plan.index("LeftSemi")
+        for scored in (S.scores(index, q), S.scores(index, q, partitions=7)):
+            assert not re.search(r"hashpartitioning\(qid#\d+, key", scored._jdf.queryExecution().executedPlan().toString())
+            n, mean = sum(bool(w) for w in words.values()), sum(map(len, words.values())) / sum(bool(w) for w in words.values())
+            want = {k: round(sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in ("stone", "word3") if t in w), 6) for k, w in words.items() if k is not None and {"stone", "word3"} & set(w)}
+            assert {r.key: r.score for r in scored.collect()} == want
+
+
 def test_variants_and_storage(spark, tmp_path):
     docs = spark.createDataFrame([(k, "remoción de tierra") for k in range(20)] + [(99, "remocion")], "key int, text string")
     index = S.build_index(docs, "key", T.tokens(F.col("text")))
