@@ -6,18 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.shared import parts_of
 
 
 def coauthor_edges(doc_authors: DataFrame) -> DataFrame:
     """(a, b, weight), a < b: documents that both are authors of.  ``doc_authors`` is (doc, author)."""
-    x = doc_authors.select("doc", "author").distinct()
-    a, b = x.alias("a"), x.alias("b")
-    pairs = a.join(b, (F.col("a.doc") == F.col("b.doc")) & (F.col("a.author") < F.col("b.author")))
-    return pairs.groupBy(F.col("a.author").alias("a"), F.col("b.author").alias("b")).agg(F.count(F.lit(1)).alias("weight"))
+    # Dealt by document once, for the distinct rows and both sides of the join; each pair then by itself.
+    x = doc_authors.select("doc", "author")
+    x = x.repartition(parts_of(x), "doc")
+    a, b = x.distinct().alias("a"), x.distinct().alias("b")
+    pairs = a.join(b, (F.col("a.doc") == F.col("b.doc")) & (F.col("a.author") < F.col("b.author"))).select(F.col("a.author").alias("a"), F.col("b.author").alias("b"))
+    return pairs.repartition(parts_of(doc_authors.select("doc", "author")), "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    ends = F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return edges.select(F.explode(ends).alias("e"), "weight").select("e.a", "e.b", "weight")
 
 
 def top_coauthors(edges: DataFrame, k: int = 50) -> DataFrame:

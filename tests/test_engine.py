@@ -401,3 +401,14 @@ def test_stream(spark, tmp_path):
     (landing / "2.json").write_text('{"id": "a", "repo": "r", "xml": "2"}\n{"id": "c", "repo": "r", "xml": "2"}\n')
     run()
     assert {(r.id, r.xml) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", "1"), ("b", "1"), ("c", "2")}
+
+
+def test_parts_of_graph_joins_grow_with_the_input(spark, tmp_path, monkeypatch):
+    x = spark.createDataFrame([(d, a) for d in range(40) for a in (d % 3, d % 5, d % 7, d % 5)], "doc int, author int")
+    want = {tuple(r) for r in G.coauthor_edges(x).collect()}
+    monkeypatch.setattr(G, "parts_of", lambda df: 37)
+    edges = G.coauthor_edges(x)
+    assert {tuple(r) for r in edges.collect()} == want and len(want) > 5
+    assert {(r.a, r.b, r.weight) for r in G.both_ways(edges).collect()} == want | {(b, a, n) for a, b, n in want}
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert all(re.search(rf"RepartitionByExpression \[{k}#\d+.*\], 37", plan) for k in ("doc", "a"))
