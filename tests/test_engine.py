@@ -412,3 +412,36 @@ def test_parts_of_graph_joins_grow_with_the_input(spark, tmp_path, monkeypatch):
     assert {(r.a, r.b, r.weight) for r in G.both_ways(edges).collect()} == want | {(b, a, n) for a, b, n in want}
     plan = edges._jdf.queryExecution().optimizedPlan().toString()
     assert all(re.search(rf"RepartitionByExpression \[{k}#\d+.*\], 37", plan) for k in ("doc", "a"))
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_components_sort_no_hub_and_deal_rows_by_their_number(spark, monkeypatch, kind):
+    from folioforge.operators import components as C
+
+    hubs = [(0, k) for k in range(100, 400)] + [(1000, 1000 + k) for k in range(1, 200)] + [(1500 + 2 * k, 1501 + 2 * k) for k in range(40)] + [(2000 + k, 2001 + k) for k in range(30)]
+    df = spark.createDataFrame(hubs + [(7, 7), (None, 3)], "a long, b long").selectExpr(f"cast(a as {kind}) a", f"cast(b as {kind}) b")
+    plans, kept = [], C.save
+
+    def save(x, name):
+        plans.append(x._jdf.queryExecution().executedPlan().toString())
+        return kept(x, name)
+
+    monkeypatch.setattr(C, "save", save)
+    monkeypatch.setattr(C, "PART_ROWS", 60, raising=False)
+    monkeypatch.setattr(C, "SMALL_ROWS", 8, raising=False)
+    if kind == "string":  # hashes that collide are given up
+        number = C._number
+        monkeypatch.setattr(C, "_number", lambda c, seed: F.length(c).cast("long") if seed == 0 else number(c, seed))
+    out = C.connected_components(df)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    low = lambda v: 0 if v < 1000 else 1000 if v < 1200 else v - v % 2 if v < 2000 else 2000
+    if kind == "string":
+        names = {v: str(v) for e in hubs for v in e}
+        least: dict = {}
+        for v, s in names.items():
+            least[low(v)] = min(s, least.get(low(v), s))
+        want = {names[v]: least[low(v)] for v in names}
+    else:
+        want = {v: low(v) for e in hubs for v in e}
+    assert {r.node: r.component for r in out.collect()} == want and dict(out.dtypes) == {"node": df.dtypes[0][1], "component": df.dtypes[0][1]}
+    assert not any("SortMergeJoin" in p for p in plans) and any(re.search(r"hashpartitioning\(v#\d+L, 1\d\), REPARTITION_BY_NUM", p) for p in plans)
