@@ -64,9 +64,13 @@ def topic_docs(topics: DataFrame) -> DataFrame:
 
 
 def topic_authors(tags: DataFrame, doc_authors: DataFrame, repo_authors: DataFrame | None = None) -> DataFrame:
-    """(tag, author), distinct; with ``repo_authors`` (author) only those of the repository."""
-    out = tags.join(doc_authors, "doc").select("tag", "author").distinct()
-    return out.join(repo_authors.select("author").distinct(), "author", "left_semi") if repo_authors is not None else out
+    """(tag, author), distinct; with ``repo_authors`` (author) only those of the repository.  ``tags`` (tag, doc) dealt by
+    document in ``parts_of`` their tables stay where they are."""
+    who = doc_authors.select("doc", "author")
+    if repo_authors is not None:  # before the join, whose pairs are many
+        who = who.join(repo_authors.select("author").distinct(), "author", "left_semi")
+    who = who.repartition(parts_of(tags), "doc").distinct()
+    return tags.join(who, "doc").select("tag", "author").distinct()
 
 
 def author_documents(author_docs: DataFrame, membership: DataFrame) -> DataFrame:

@@ -445,3 +445,20 @@ def test_components_sort_no_hub_and_deal_rows_by_their_number(spark, monkeypatch
         want = {v: low(v) for e in hubs for v in e}
     assert {r.node: r.component for r in out.collect()} == want and dict(out.dtypes) == {"node": df.dtypes[0][1], "component": df.dtypes[0][1]}
     assert not any("SortMergeJoin" in p for p in plans) and any(re.search(r"hashpartitioning\(v#\d+L, 1\d\), REPARTITION_BY_NUM", p) for p in plans)
+
+
+def test_topics_are_dealt_by_document_once_and_authors_of_a_repository_first(spark, monkeypatch):
+    monkeypatch.setattr(G, "parts_of", lambda df: 37)
+    monkeypatch.setattr(queries, "parts_of", lambda df: 37, raising=False)
+    for name in ("topic_authors", "topic_repo_authors_semi"):
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"hashpartitioning\(doc#\d+L, 37\), REPARTITION_BY_NUM", plan) and len(re.findall(r"Exchange hashpartitioning\(doc#", plan)) == 3
+    # The authors of the repository are chosen below the join by document.
+    x = spark.createDataFrame([("t", 1), ("u", 2), ("t", 2)], "tag string, doc long")
+    who = spark.createDataFrame([(1, 5), (1, 5), (2, 6), (2, 7)], "doc long, author long")
+    own = spark.createDataFrame([(5,), (7,), (7,), (9,)], "author long")
+    out = G.topic_authors(x, who, own)
+    assert sorted(map(tuple, out.collect())) == [("t", 5), ("t", 7), ("u", 7)]
+    assert sorted(map(tuple, G.topic_authors(x, who).collect())) == [("t", 5), ("t", 6), ("t", 7), ("u", 6), ("u", 7)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Join LeftSemi")
