@@ -39,10 +39,10 @@ def connected_components(edges: DataFrame, name: str = "components", rounds: int
 
     saved, picks = raw, []
     for i in range(rounds):
-        pick = save(_picked(now, n, i), name)
+        pick = _saved(_picked(now, n, i), 2 * n, name)
         picks.append((pick, pick.count()))
         moved = _replaced(_replaced(now, "a", *picks[-1], n), "b", *picks[-1], n).where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-        now = save(moved.repartition(_parts(n), "a", "b").distinct(), name)
+        now = _saved(moved.repartition(_parts(n), "a", "b").distinct(), n, name)
         forget(saved)
         saved, n = now, now.count()
         if not n:
@@ -67,8 +67,8 @@ def connected_components(edges: DataFrame, name: str = "components", rounds: int
     named = save(named.select("node", "r", F.pmod(F.xxhash64("v"), F.lit(parts)).alias("s")), name)
     forget(label, *([nodes] if nodes is not None else []))
     # The smallest node of each part of a component, then of the component: a large one is in all parts.
-    low = save(named.repartition(parts, "r", "s").groupBy("r", "s").agg(F.min("node").alias("low")), name)
-    least = save(low.repartition(parts, "r").groupBy("r").agg(F.min("low").alias("component")), name)
+    low = _saved(named.repartition(parts, "r", "s").groupBy("r", "s").agg(F.min("node").alias("low")), m, name)
+    least = _saved(low.repartition(parts, "r").groupBy("r").agg(F.min("low").alias("component")), m, name)
     if least.count() <= SMALL_ROWS:
         forget(low)
         return named.join(F.broadcast(least), "r").select("node", "component")
@@ -80,6 +80,15 @@ def _parts(rows: int) -> int:
     return rows // PART_ROWS + 1
 
 
+def _saved(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """``df``, dealt out as ``rows`` rows, in the shared folder, in no more files than that, however many parts it was
+    dealt to.
+
+    A round writes two tables, and Hadoop's local file system starts three processes for each file; each of these is
+    at first a copy of the executor that starts it."""
+    return save(df.coalesce(_parts(rows)), name)
+
+
 def _joined(x: DataFrame, t: DataFrame, keys: list[str], rows: int, how: str = "inner") -> DataFrame:
     """``x`` joined with ``t``, whose keys are unique: only ``t`` is held in memory, in as many parts as ``rows`` ask for."""
     parts = _parts(rows)
@@ -97,7 +106,7 @@ def _numbered(raw: DataFrame, n: int, name: str) -> tuple[DataFrame, int]:
     """(v, node) of edges of any type, each node with a number of its own, and the seed of :func:`_number` that gives it."""
     for seed in itertools.count():
         x = raw.select(F.explode(F.array("a", "b")).alias("node")).select(_number(F.col("node"), seed).alias("v"), "node")
-        nodes = save(x.repartition(_parts(2 * n), "v").distinct(), name)
+        nodes = _saved(x.repartition(_parts(2 * n), "v").distinct(), 2 * n, name)
         if not nodes.repartition(_parts(nodes.count()), "v").groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1):
             return nodes, seed
         forget(nodes)
